@@ -18,6 +18,7 @@ ENCODINGS = {
 }
 # Fixed value: Unicode white space plus the ASCII separators.
 BLANK = "(?U)[\\s\\x1c-\\x1f]+"
+BLANK_SQL = BLANK.replace("\\", "\\\\")
 ANALOGY_HEADER = ": "
 
 
@@ -113,38 +114,35 @@ def parse_word2vec_lines(
         last = lines.agg(F.max("line_no")).head()[0]
         if last < wanted:
             raise ValueError(f"header promises {count} rows, the file has {last}")
-    body = lines.where((F.col("line_no") >= 1) & (F.col("line_no") <= wanted))
-    value = F.col("value")
-    cut = F.instr(value, " ")
-    rest = F.regexp_replace(F.expr("substring(value, instr(value, ' ') + 1)"), BLANK, " ")
-    numbers = F.transform(
-        F.split(F.trim(rest), " "), lambda t: t.try_cast("double")
+    stored = {"fp32": "array<float>", "fp64": "array<double>"}.get(precision)
+    if stored is None:
+        raise ValueError("precision must be fp32 or fp64")
+    numbers = (
+        f"transform(split(trim(regexp_replace(substring(value, instr(value, ' ') + 1), "
+        f"'{BLANK_SQL}', ' ')), ' '), t -> try_cast(t AS double))"
     )
-    parsed = body.select(
-        (F.col("line_no") - 1).cast("bigint").alias("idx"),
-        F.substring_index(value, " ", 1).alias("word"),
-        numbers.alias("vec"),
-        value.alias("_line"),
-        (cut > 0).alias("_cut"),
+    wanted_line = f"line_no BETWEEN 1 AND {wanted}"
+    parsed = lines.where(wanted_line).selectExpr(
+        "line_no - 1 AS idx",
+        "substring_index(value, ' ', 1) AS word",
+        f"{numbers} AS vec",
+        "value",
+        "line_no",
     )
     good = (
-        F.col("_cut")
-        & (F.size("vec") == dim)
-        & ~F.exists("vec", lambda x: x.isNull())
+        f"instr(value, ' ') > 0 AND size(vec) = {dim} AND NOT exists(vec, x -> x IS NULL)"
     )
-    stored = {"fp32": "array<float>", "fp64": "array<double>"}.get(precision)
-    if stored is None:
-        raise ValueError("precision must be fp32 or fp64")
-    vec = F.col("vec").cast(stored)
     if mode == "FAILFAST":
-        message = F.concat(F.lit("malformed vector line: "), F.substring("_line", 1, 80))
-        out = parsed.select("idx", "word", _require(good, message, vec).alias("vec"))
+        # the line test is repeated because the optimiser may check vectors earlier
+        error = "raise_error(concat('malformed vector line: ', left(value, 80)))"
+        vec = f"CASE WHEN {wanted_line} AND NOT ({good}) THEN {error} ELSE vec END"
+        out = parsed.selectExpr("idx", "word", f"CAST({vec} AS {stored}) AS vec")
     else:
-        out = parsed.select(
+        out = parsed.selectExpr(
             "idx",
             "word",
-            F.when(good, vec).alias("vec"),
-            F.when(~good, F.col("_line")).alias("_corrupt_record"),
+            f"CAST(CASE WHEN {good} THEN vec END AS {stored}) AS vec",
+            f"CASE WHEN NOT ({good}) THEN value END AS _corrupt_record",
         )
     return out if vocabulary is None else filter_vocabulary(out, vocabulary)
 
