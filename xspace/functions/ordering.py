@@ -61,35 +61,35 @@ def carry_forward(df: DataFrame, line_no: str, value: str, out: str) -> DataFram
     )
 
 
-def average_ranks(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     """Rank of each distinct ``value`` in its group, ties sharing the mean rank.
 
-    Returns (group, value, out). Copies are counted before any shuffle of rows and
+    Returns (*groups, value, out). Copies are counted before any shuffle of rows and
     the sorted order is range-partitioned, so one huge group spans many tasks.
     """
     distinct = (
-        df.groupBy(group, value)
+        df.groupBy(*groups, value)
         .agg(F.count("*").alias("n"))
-        .repartitionByRange(group, value)
+        .repartitionByRange(*groups, value)
         .withColumn("_part", F.spark_partition_id())
     )
     # the partition number is part of the result, so it must not be recomputed
     distinct = cut_lineage(distinct)
-    parts = distinct.groupBy(group, "_part").agg(F.sum("n").alias("n"))
+    parts = distinct.groupBy(*groups, "_part").agg(F.sum("n").alias("n"))
     before = (
-        Window.partitionBy(group)
+        Window.partitionBy(*groups)
         .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = parts.select(
-        group, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset")
+        *groups, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset")
     )
     inside = (
-        Window.partitionBy(group, "_part")
+        Window.partitionBy(*groups, "_part")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     last = F.col("_offset") + F.sum("n").over(inside)
-    return distinct.join(offsets, [group, "_part"]).select(
-        group, value, (last - (F.col("n") - 1) / 2.0).alias(out)
+    return distinct.join(offsets, [*groups, "_part"]).select(
+        *groups, value, (last - (F.col("n") - 1) / 2.0).alias(out)
     )

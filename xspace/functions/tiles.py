@@ -261,11 +261,13 @@ def _scores(job, sims, other, on_held, stream_ids, held_ids, held_is_left):
     return scores
 
 
-def profile_rows(ids, mat, columns, first):
+def profile_rows(ids, mat, columns, first, in_order):
     """Whole similarity rows against a held block, a bounded number at a time."""
     step = max(1, TILE_CELLS // max(1, columns.shape[1]))
     for a in range(0, len(ids), step):
         sims = mat[a : a + step] @ columns
+        if in_order:
+            sims.sort(axis=1)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids[a : a + step]),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import session
 from . import pairs
 from .lookup import lookup, word_index
 
@@ -84,7 +85,9 @@ def solve_analogies(resolved: DataFrame, emb: DataFrame) -> DataFrame:
     ``emb`` has unit vectors. A question's own words score -1: three of the four
     best candidates can be its own words, so the fourth always competes.
     """
-    top = pairs.top_neighbours(question_vectors(resolved, emb), emb, k=4)
+    # several steps read the question vectors: measured, then scanned or shipped
+    asked = session.cut_lineage(question_vectors(resolved, emb))
+    top = pairs.top_neighbours(asked, emb, k=4)
     candidates = top.select(F.col("idx").alias("line_no"), "nbr", "score").join(
         resolved.select("line_no", "a_idx", "b_idx", "c_idx"), "line_no"
     )

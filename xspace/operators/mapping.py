@@ -22,21 +22,27 @@ RANK_TOLERANCE = 1e-10
 # -- Gram matrices ---------------------------------------------------------------
 
 
-def _gram_rows(batches):
+def add_up(blocks):
+    """Weighted Gram of a stream of (matrix, weights), as one numbered block."""
     total = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m = np.hstack(
-            [tiles.matrix(batch.column(c)) for c in range(batch.num_columns - 1)]
-        ).astype(np.float64, copy=False)
-        weight = batch.column(batch.num_columns - 1).to_numpy().astype(np.float64)
+    for m, weight in blocks:
+        m = m.astype(np.float64, copy=False)
         part = (m * weight[:, None]).T @ m
         total = part if total is None else total + part
     if total is not None:
         yield _numbered(np.arange(len(total)), total)
 
 
+def _gram_rows(batches):
+    def blocks():
+        for batch in batches:
+            if batch.num_rows:
+                *vecs, weight = batch.columns
+                yield np.hstack([tiles.matrix(v) for v in vecs]), weight.to_numpy()
+
+    return add_up(blocks())
+
+
 def _sum_rows(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -55,20 +61,22 @@ def _numbered(ids, rows):
     )
 
 
-def gram_rows(df: DataFrame) -> DataFrame:
+def gram_rows(df: DataFrame, partials=_gram_rows) -> DataFrame:
     """Rows (i, row) of the weighted Gram of the leading vector columns of ``df``.
 
     The last column is the weight. Each task sends one partial matrix; the partials
     are then summed row by row over the cluster.
     """
     schema = "i int, row array<double>"
-    partial = df.mapInArrow(_gram_rows, schema)
+    partial = df.mapInArrow(partials, schema)
     # one key per matrix row: tasks hold at most their share of the rows
     tasks = min(64, session.shuffle_partitions(df.sparkSession))
     return partial.repartition(tasks, "i").mapInArrow(_sum_rows, schema)
 
 
-def dictionary_vectors(src: DataFrame, trg: DataFrame, pairs: DataFrame) -> DataFrame:
+def dictionary_vectors(
+    src: DataFrame, trg: DataFrame, pairs: DataFrame, rows: int | None = None
+) -> DataFrame:
     """(x, z, w): the two vectors of each dictionary pair and its multiplicity.
 
     A dictionary counted to be small is sent to the tables, which are then only
@@ -80,7 +88,7 @@ def dictionary_vectors(src: DataFrame, trg: DataFrame, pairs: DataFrame) -> Data
     z = trg.select(F.col("idx").alias("trg_idx"), F.col("vec").alias("z"))
     width = src.select(F.size("vec")).head()
     row_bytes = 24 + 8 * (width[0] if width else 0)
-    rows = pairs.count()
+    rows = pairs.count() if rows is None else rows
     if rows * row_bytes <= session.broadcast_limit(pairs.sparkSession) / 4:
         xs = x.join(F.broadcast(bag), "src_idx")
         return z.join(F.broadcast(xs), "trg_idx").select("x", "z", "w")
@@ -116,10 +124,14 @@ class JointGram:
 
 
 def collect_joint_gram(
-    src: DataFrame, trg: DataFrame, pairs: DataFrame
+    src: DataFrame, trg: DataFrame, pairs: DataFrame, rows: int | None = None
 ) -> JointGram:
     """The Gram blocks on the driver: (2 * width) squared numbers."""
-    g = _collect_square(gram_rows(dictionary_vectors(src, trg, pairs)))
+    return split_gram(gram_rows(dictionary_vectors(src, trg, pairs, rows)))
+
+
+def split_gram(rows: DataFrame) -> JointGram:
+    g = _collect_square(rows)
     d = len(g) // 2
     return JointGram(g[:d, :d], g[d:, d:], g[:d, d:])
 

@@ -55,11 +55,12 @@ def limit_vocabulary(src: DataFrame, trg: DataFrame, vocab: int):
     return src.where(F.col("idx") < size), trg.where(F.col("idx") < size)
 
 
-def sqrt_similarity(emb: DataFrame) -> DataFrame:
+def sqrt_similarity(emb: DataFrame, in_order: bool = False) -> DataFrame:
     """(idx, vec): each row of the square root of the all-pairs similarity matrix.
 
     That root equals X (XtX)^-1/2 Xt, so it needs one width x width decomposition
-    and one product per row pair. ``emb`` must be dense in ``idx``.
+    and one product per row pair. ``emb`` must be dense in ``idx``. ``in_order``
+    sorts each row's values, as ``sort_profile`` does.
     """
     spark = emb.sparkSession
     root = mapping.inverse_sqrt(mapping.collect_gram(emb))[0]
@@ -68,6 +69,7 @@ def sqrt_similarity(emb: DataFrame) -> DataFrame:
     limit = session.broadcast_limit(spark)
     groups = max(1, -(-rows * 8 * len(root) // limit))
     cells = grid_by_range(table, rows, groups, session.parallelism(spark))
+    whole = groups == 1
 
     def profile(batches):
         held, stream = tiles.split_sides(batches, None, root)
@@ -76,15 +78,15 @@ def sqrt_similarity(emb: DataFrame) -> DataFrame:
         order = held[0].argsort()
         first, columns = held[0].min(), held[1][order].T
         for ids, mat, _ in stream:
-            yield from tiles.profile_rows(ids, mat, columns, first)
+            yield from tiles.profile_rows(ids, mat, columns, first, in_order and whole)
 
     parts = cells.mapInArrow(profile, "idx bigint, first bigint, part array<double>")
-    if groups == 1:
-        return parts.select("idx", F.col("part").alias("vec"))
-    ordered = F.array_sort(F.collect_list(F.struct("first", "part")))
-    return parts.groupBy("idx").agg(
-        F.flatten(F.transform(ordered, lambda p: p["part"])).alias("vec")
-    )
+    if whole:
+        return parts.selectExpr("idx", "part AS vec")
+    ordered = "array_sort(collect_list(struct(first, part)))"
+    joined = F.expr(f"flatten(transform({ordered}, p -> p.part))")
+    profiles = parts.groupBy("idx").agg(joined.alias("vec"))
+    return sort_profile(profiles) if in_order else profiles
 
 
 def sort_profile(profiles: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def sort_profile(profiles: DataFrame) -> DataFrame:
 
 def similarity_profiles(emb: DataFrame, actions: Iterable[str]) -> DataFrame:
     """Sorted, normalised square-root similarities of a table, as vectors."""
-    return normalize(sort_profile(sqrt_similarity(emb)), actions)
+    # centring reads the profiles twice; they cost a product of all row pairs
+    return normalize(session.cut_lineage(sqrt_similarity(emb, True)), actions)
 
 
 def profile_scores(

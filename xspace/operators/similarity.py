@@ -62,25 +62,28 @@ def pearson(scored: DataFrame) -> DataFrame:
 
 def spearman(scored: DataFrame) -> DataFrame:
     """(dataset, spearman): correlation of average ranks."""
-    usable = scored.where(F.col("system").isNotNull()).select(
-        "dataset", "gold", "system"
-    )
+    usable = scored.where("system IS NOT NULL")
     # equal (gold, system) pairs collapse before the ranks are joined back
     counted = usable.groupBy("dataset", "gold", "system").agg(F.count("*").alias("n"))
-    gold_rank = ordering.average_ranks(usable, "dataset", "gold", "gold_rank")
-    system_rank = ordering.average_ranks(usable, "dataset", "system", "system_rank")
-    ranked = counted.join(gold_rank, ["dataset", "gold"]).join(
-        system_rank, ["dataset", "system"]
+    both = usable.selectExpr(
+        "dataset",
+        "inline(array(named_struct('kind', 'gold', 'value', gold), "
+        "named_struct('kind', 'system', 'value', system)))",
     )
-    n, g, s = F.col("n"), F.col("gold_rank"), F.col("system_rank")
-    mean_rank = (F.sum("n") + 1) / 2.0
-    means = ranked.groupBy("dataset").agg(mean_rank.alias("mean"))
-    x, y = g - F.col("mean"), s - F.col("mean")
-    spread = F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))
-    return (
-        ranked.join(F.broadcast(means), "dataset")
-        .groupBy("dataset")
-        .agg(F.try_divide(F.sum(n * x * y), spread).alias("spearman"))
+    ranks = ordering.average_ranks(both, ["dataset", "kind"], "value", "rank")
+    ranked = counted
+    for kind, short in (("gold", "g"), ("system", "s")):
+        own = ranks.where(F.col("kind") == kind).selectExpr(
+            "dataset", f"value AS {kind}", f"rank AS {short}"
+        )
+        ranked = ranked.join(own, ["dataset", kind])
+    means = counted.groupBy("dataset").agg(F.expr("(sum(n) + 1) / 2D").alias("mean"))
+    centred = ranked.join(means, "dataset").selectExpr(
+        "dataset", "n", "g - mean AS x", "s - mean AS y"
+    )
+    spread = "sqrt(sum(n * x * x)) * sqrt(sum(n * y * y))"
+    return centred.groupBy("dataset").agg(
+        F.expr(f"try_divide(sum(n * x * y), {spread})").alias("spearman")
     )
 
 

@@ -28,9 +28,20 @@ from .tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> Tables:
+    # derived tables are inputs: a session writes each of them once
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Tables(spark, sf_dir))
+        return fn(_tables(spark, sf_dir))
 
     QUERIES[fn.__name__] = run
     return fn
@@ -58,7 +69,7 @@ def scaled(df: DataFrame, factor) -> DataFrame:
 
 
 def shared_tables(t: Tables):
-    return session.cut_lineage(t.source()), session.cut_lineage(t.shared())
+    return t.source(), t.shared()
 
 
 # -- sources and sinks -----------------------------------------------------------
@@ -124,7 +135,7 @@ def s9_write_word2vec(t):
 
 @query
 def s10_training_log(t):
-    src, trg = session.cut_lineage(t.source()), session.cut_lineage(t.rotated())
+    src, trg = t.source(), t.rotated()
     gold, coverage = translate.gold_dictionary(t.gold_pairs(), src, trg)
     check = Validation(src, trg, gold, coverage.head()["coverage"])
     config = MapConfig.preset("acl2017", normalize=())
@@ -245,7 +256,7 @@ def d5_unsupervised_vocabulary(t):
 @query
 def d6_sqrt_similarity(t):
     # row products of the square root give back the similarities themselves
-    root = session.cut_lineage(seed.sqrt_similarity(session.cut_lineage(t.source())))
+    root = session.cut_lineage(seed.sqrt_similarity(t.source()))
     following = root.select(
         ((F.col("idx") + t.n - 1) % t.n).alias("idx"), F.col("vec").alias("next")
     )
@@ -298,7 +309,7 @@ def d10_seed_unsupervised(t):
 
 
 def _mapping_tables(t: Tables, target: DataFrame):
-    src, trg = session.cut_lineage(t.source()), session.cut_lineage(target)
+    src, trg = t.source(), target
     bag = session.cut_lineage(seed.seed_from_pairs(t.training_pairs(), src, trg))
     return src, trg, bag
 
@@ -318,7 +329,7 @@ def m2_orthogonal(t):
 
 @query
 def m3_unconstrained(t):
-    src, trg, bag = _mapping_tables(t, scaled(t.rotated(), 1.5))
+    src, trg, bag = _mapping_tables(t, session.cut_lineage(scaled(t.rotated(), 1.5)))
     fit = mapping.fit_unconstrained(mapping.collect_joint_gram(src, trg, bag))
     return cells(mapping.apply_map(src, fit.src), "idx")
 
@@ -518,7 +529,7 @@ def k10_objective(t):
 
 @query
 def k12_self_learning(t):
-    src, trg = session.cut_lineage(t.source()), session.cut_lineage(t.rotated_noisy())
+    src, trg = t.source(), t.rotated_noisy()
     config = MapConfig.preset("acl2017", normalize=())
     learned = learn_map(src, trg, seed.seed_numerals(src, trg), config)
     mapped = session.cut_lineage(mapping.apply_map(src, learned.linear.src))
@@ -587,7 +598,7 @@ def t6_translate_csls(t):
 
 @query
 def t7_dot_or_cosine(t):
-    src = session.cut_lineage(t.source())
+    src = t.source()
     longer = scaled(t.shared(), 1.0 + (F.col("idx") % 7) / 10.0)
     everyone, out = src.select(F.col("idx").alias("src_idx")), None
     for dot in (False, True):
@@ -708,9 +719,10 @@ def a3_resolve_questions(t):
 
 @query
 def a4_offset_retrieval(t):
-    emb = session.cut_lineage(t.analogy_vocabulary())
+    emb = t.analogy_vocabulary()
     asked = session.cut_lineage(analogy.resolve_questions(t.analogy_questions(), emb))
-    top = pairs.top_neighbours(analogy.question_vectors(asked, emb), emb)
+    wanted = session.cut_lineage(analogy.question_vectors(asked, emb))
+    top = pairs.top_neighbours(wanted, emb)
     return top.select(
         F.col("idx").alias("line_no"), "nbr", rounded("score").alias("score")
     )

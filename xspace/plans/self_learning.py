@@ -142,8 +142,10 @@ def learn_map(
     while True:
         state = state.begin(config)
         # induced ids lie within the cut-off; only the seed may reach beyond it
-        tables = (src, trg) if dictionary is seed else scope
-        gram = mapping.collect_joint_gram(*tables, dictionary)
+        if dictionary is seed:
+            gram = mapping.collect_joint_gram(src, trg, seed)
+        else:
+            gram = inducer.joint_gram(dictionary)
         if state.last_pass:
             break
         w = mapping.fit_orthogonal(gram).src

@@ -12,6 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import session, vectors
 
 
+def written(build):
+    """A derived table is checkpointed when first asked for."""
+    name = build.__name__
+
+    def table(self) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = session.cut_lineage(build(self))
+        return self._written[name]
+
+    table.__doc__ = build.__doc__
+    return table
+
+
 def word(prefix: str, i: str = "i") -> str:
     """Numerals, words common to both sides, and words of one side only."""
     return (
@@ -31,6 +44,7 @@ class Tables:
         self.raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         self.n = self.raw.count()
         self.width = self.raw.selectExpr("size(embedding)").head()[0]
+        self._written: dict[str, DataFrame] = {}
 
     def base(self) -> DataFrame:
         """(i, v): the given vectors in double precision, at unit length."""
@@ -53,6 +67,7 @@ class Tables:
 
     # -- embedding tables --------------------------------------------------------
 
+    @written
     def source(self) -> DataFrame:
         return self.base().selectExpr("i AS idx", f"{word('s')} AS word", "v AS vec")
 
@@ -69,15 +84,18 @@ class Tables:
             f"j -> {sign} * {v}[int((j * 5 + 3) % {self.width})])"
         )
 
+    @written
     def rotated(self) -> DataFrame:
         """The source turned; row i becomes row 7i+3 modulo the row count."""
         return self._target(self.base(), self._rotate("v"))
 
+    @written
     def rotated_noisy(self) -> DataFrame:
         mixed = self._with_next().selectExpr("i", f"{plus('v', 'u', '0.3D')} AS m")
         unit = mixed.selectExpr("i", f"{vectors.unit_sql('m')} AS m")
         return self._target(unit, self._rotate("m"))
 
+    @written
     def shared(self) -> DataFrame:
         """Targets in the source's space, pulled towards the next row."""
         pull = "CASE i % 3 WHEN 0 THEN 1.2D WHEN 1 THEN 0.6D ELSE 0.95D END"
@@ -140,6 +158,7 @@ class Tables:
 
     # -- analogies ---------------------------------------------------------------
 
+    @written
     def analogy_vocabulary(self) -> DataFrame:
         """Words b0.. and d0.. where d is b moved by a step shared by its category."""
         half = self.n // 2
