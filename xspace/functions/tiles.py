@@ -101,28 +101,80 @@ def top_rows(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class _HeldTopK:
-    """Running best ``k`` per held row while the other side streams past."""
+    """Running best ``k`` per held row while the other side streams past.
+
+    The more has been seen, the fewer new scores reach a row's ``k`` best, so a tile
+    is only compared with the bar and the rare candidates are sorted in now and then.
+    """
 
     def __init__(self, rows: int, k: int):
         self.k = k
         self.score = np.full((rows, k), -np.inf)
         self.nbr = np.full((rows, k), LAST_ID)
         self.best = np.full(rows, -np.inf)
+        self.waiting: list[tuple] = []
+        self.seen = 0
 
     def add(self, scores: np.ndarray, ids: np.ndarray, best: np.ndarray):
+        """``scores`` holds a streamed row per row and a held row per column."""
         np.maximum(self.best, best, out=self.best)
-        pos = top_rows(scores, self.k)
-        new = np.take_along_axis(scores, pos, axis=1).astype(np.float64)
         if self.k == 1:
-            ids, new, old = ids[pos[:, 0]], new[:, 0], self.score[:, 0]
-            wins = (new > old) | ((new == old) & (ids < self.nbr[:, 0]))
-            self.score[wins, 0], self.nbr[wins, 0] = new[wins], ids[wins]
+            self._add_best(scores, ids)
+        elif self.seen < self.k:
+            pos = top_rows(np.ascontiguousarray(scores.T), self.k)
+            rows = np.arange(len(pos))[:, None]
+            self.waiting.append(
+                (np.repeat(rows, pos.shape[1]), scores[pos, rows].ravel(), ids[pos].ravel())
+            )
+            self._settle()
+        else:
+            at, rows = np.nonzero(scores >= self.score[:, -1].astype(scores.dtype))
+            self.waiting.append((rows, scores[at, rows], ids[at]))
+            if sum(len(w[0]) for w in self.waiting) >= self.nbr.size:
+                self._settle()
+        self.seen += len(ids)
+
+    def _add_best(self, scores, ids):
+        top, bar = scores.max(axis=0).astype(np.float64), self.score[:, 0]
+        rows = np.flatnonzero(top >= bar)
+        nbr = ids[scores[:, rows].argmax(axis=0)]
+        wins = (top[rows] > bar[rows]) | (nbr < self.nbr[rows, 0])
+        rows = rows[wins]
+        self.score[rows, 0], self.nbr[rows, 0] = top[rows], nbr[wins]
+
+    def _settle(self):
+        if not self.waiting:
             return
-        score = np.concatenate([self.score, new], axis=1)
-        nbr = np.concatenate([self.nbr, ids[pos]], axis=1)
-        order = np.lexsort((nbr, -score), axis=-1)[:, : self.k]
-        self.score = np.take_along_axis(score, order, axis=1)
-        self.nbr = np.take_along_axis(nbr, order, axis=1)
+        rows, score, nbr = (np.concatenate(parts) for parts in zip(*self.waiting))
+        self.waiting = []
+        order = np.argsort(rows, kind="stable")
+        rows, score, nbr = rows[order], score[order], nbr[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        # a bounded number of newcomers per row at a time
+        width = 2 * self.k
+        for first in range(0, int(rank.max()) + 1 if len(rank) else 0, width):
+            now = (rank >= first) & (rank < first + width)
+            self._merge(rows[now], rank[now] - first, score[now], nbr[now])
+
+    def _merge(self, rows, slot, score, nbr):
+        n, k = self.nbr.shape
+        width = int(slot.max()) + 1
+        scores = np.full((n, k + width), -np.inf)
+        ids = np.full((n, k + width), LAST_ID)
+        scores[:, :k], ids[:, :k] = self.score, self.nbr
+        scores[rows, k + slot], ids[rows, k + slot] = score, nbr
+        order = np.argsort(-scores, axis=1, kind="stable")
+        scores = np.take_along_axis(scores, order, axis=1)
+        ids = np.take_along_axis(ids, order, axis=1)
+        tied = (scores[:, 1:] == scores[:, :-1]) & (ids[:, 1:] < ids[:, :-1])
+        for row in np.flatnonzero(tied.any(axis=1)):
+            fixed = np.lexsort((ids[row], -scores[row]))
+            scores[row], ids[row] = scores[row, fixed], ids[row, fixed]
+        self.score, self.nbr = scores[:, :k].copy(), ids[:, :k].copy()
+
+    def result(self):
+        self._settle()
+        return self.nbr, self.score, self.best
 
 
 class _HeldLogSumExp:
@@ -164,7 +216,7 @@ def _top_batch(job, ids, nbr, score, best):
         job,
         np.repeat(ids, k)[found],
         flat[found],
-        score.ravel()[found],
+        score.ravel()[found] + 0.0,  # a dropped negative score is -0.0
         np.repeat(best, k)[found],
     )
 
@@ -218,9 +270,7 @@ def scan_tiles(jobs, held, stream, held_is_left: bool, own_mean: int = 0):
                     )
                     best = sims.max(axis=0 if on_held else 1)
                     if on_held:
-                        state[number].add(
-                            np.ascontiguousarray(scores.T), ids[a:b], best
-                        )
+                        state[number].add(scores, ids[a:b], best)
                     else:
                         pos = top_rows(scores, job.k)
                         yield _top_batch(
@@ -241,7 +291,7 @@ def scan_tiles(jobs, held, stream, held_is_left: bool, own_mean: int = 0):
                         yield _rows(number, ids[a:b], ids[a:b], top, total)
     for number, kept in enumerate(state):
         if isinstance(kept, _HeldTopK):
-            yield _top_batch(number, held_ids, kept.nbr, kept.score, kept.best)
+            yield _top_batch(number, held_ids, *kept.result())
         elif kept is not None and rows and np.isfinite(kept.top[0]):
             yield _rows(number, held_ids, held_ids, kept.top, kept.total)
 
@@ -249,6 +299,7 @@ def scan_tiles(jobs, held, stream, held_is_left: bool, own_mean: int = 0):
 def _scores(job, sims, other, on_held, stream_ids, held_ids, held_is_left):
     scores = sims if job.alpha == 1.0 else sims * job.alpha
     if job.penalty:
+        other = other.astype(sims.dtype, copy=False)
         scores = scores - (other[:, None] if on_held else other[None, :])
     if job.keep < 1.0:
         left_ids, right_ids = (
@@ -257,7 +308,8 @@ def _scores(job, sims, other, on_held, stream_ids, held_ids, held_is_left):
         left = hashing.id_keys(left_ids, hashing.ROW_STREAM, job.key)
         right = hashing.id_keys(right_ids, hashing.COL_STREAM, job.key)
         rows, cols = (right, left) if held_is_left else (left, right)
-        scores = np.where(hashing.keep_mask(rows, cols, job.keep), scores, 0.0)
+        kept = hashing.keep_mask(rows, cols, job.keep)
+        scores = scores * kept
     return scores
 
 

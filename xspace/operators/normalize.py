@@ -4,32 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import vectors
+from ..functions import tiles
 
+# Whole-row arithmetic over Arrow batches: chains of array lambdas are interpreted
+# element by element and measured several times slower.
 
-def _unit(df):
-    return df.withColumn("vec", vectors.unit("vec"))
 
+def _unit(m, _):
+    norms = np.sqrt((m * m).sum(axis=1))
+    norms[norms == 0] = 1
+    return m / norms[:, None]
 
-def _center(df):
-    mean = vectors.column_statistic(df, "avg(x)")
-    return _with_statistic(df, mean, "x - m")
 
+def _center(m, totals):
+    rows, sums, _ = totals
+    return m - sums / rows
 
-def _unitdim(df):
-    norm = vectors.column_statistic(df, "sqrt(sum(x * x))")
-    return _with_statistic(df, norm, "CASE WHEN m = 0 THEN x ELSE x / m END")
 
+def _unitdim(m, totals):
+    norms = np.sqrt(totals[2])
+    return m / np.where(norms == 0, 1, norms)
 
-def _centeremb(df):
-    return df.withColumn("vec", vectors.row_centered("vec"))
 
-
-def _with_statistic(df, per_dim, change):
-    combined = F.expr(f"zip_with(vec, _stat, (x, m) -> {change})")
-    return df.withColumn("_stat", per_dim).withColumn("vec", combined).drop("_stat")
+def _centeremb(m, _):
+    return m - m.mean(axis=1)[:, None]
 
 
 ACTIONS = {
@@ -38,16 +40,77 @@ ACTIONS = {
     "unitdim": _unitdim,
     "centeremb": _centeremb,
 }
+# These need sums over the whole table first.
+COLUMN_ACTIONS = ("center", "unitdim")
 
 
 def normalize(df: DataFrame, actions: Iterable[str]) -> DataFrame:
     """Apply the actions left to right; ``none`` and unknown names do nothing.
 
-    ``unit`` and ``centeremb`` are row-wise. ``center`` and ``unitdim`` add one
-    aggregate over the table, used through a scalar subquery of vector width.
+    All actions run in one pass over the rows. ``center`` and ``unitdim`` each add
+    one aggregation job when called, whose result is as wide as a vector; the other
+    actions are row-wise, so they also take streams.
     """
-    stored = df.schema["vec"].dataType
+    steps: list[tuple] = []
     for action in actions:
         if action in ACTIONS:
-            df = ACTIONS[action](df).withColumn("vec", F.col("vec").cast(stored))
-    return df
+            totals = _column_totals(df, steps) if action in COLUMN_ACTIONS else None
+            steps.append((ACTIONS[action], totals))
+    if not steps:
+        return df
+
+    def change(m):
+        return tiles.list_array(_applied(m, steps).astype(m.dtype))
+
+    return tiles.map_vectors(df, change, df.schema["vec"].dataType.simpleString())
+
+
+def _applied(m, steps):
+    m = m.astype(np.float64)
+    for step, totals in steps:
+        m = step(m, totals)
+    return m
+
+
+def _column_totals(df: DataFrame, steps: list[tuple]):
+    """(rows, sums, sums of squares) per dimension after ``steps``.
+
+    A task adds up its rows and sends one array; the arrays are then added by
+    dimension, so no reducer holds more than its share of the width.
+    """
+
+    def add_up(batches):
+        rows, total, squares = 0, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                m = _applied(tiles.matrix(batch.column(0)), steps)
+                rows += len(m)
+                total = total + m.sum(axis=0)
+                squares = squares + (m * m).sum(axis=0)
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows]),
+                    tiles.list_array(total[None, :]),
+                    tiles.list_array(squares[None, :]),
+                ],
+                names=["n", "total", "squares"],
+            )
+
+    parts = df.select("vec").mapInArrow(
+        add_up, "n bigint, total array<double>, squares array<double>"
+    )
+    cells = parts.selectExpr("n", "posexplode(arrays_zip(total, squares)) AS (pos, t)")
+    sums = cells.groupBy("pos").agg(
+        F.sum("n").alias("n"),
+        F.sum("t.total").alias("total"),
+        F.sum("t.squares").alias("squares"),
+    )
+    table = sums.toArrow().sort_by("pos")
+    if not table.num_rows:
+        return 1, 0.0, np.float64(0.0)
+    return (
+        table["n"][0].as_py(),
+        table["total"].to_numpy(),
+        table["squares"].to_numpy(),
+    )

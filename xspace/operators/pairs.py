@@ -54,10 +54,11 @@ class PairScan:
 
     ``extra`` is a penalty or weight per row. The broadcast side is collected once,
     so iterating with changing maps costs one pass over the streamed side each.
-    ``sizes`` saves measuring tables of known size.
+    ``sizes`` saves measuring tables of known size; ``spread=False`` keeps small
+    tables in the partitions they have.
     """
 
-    def __init__(self, left: DataFrame, right: DataFrame, sizes=None):
+    def __init__(self, left: DataFrame, right: DataFrame, sizes=None, spread=True):
         self.spark = left.sparkSession
         self.left, self.right = self._shape(left), self._shape(right)
         self.sizes = sizes or measure(self.left, self.right)
@@ -68,6 +69,7 @@ class PairScan:
         self.held_is_left = self.left_bytes < self.right_bytes
         self.broadcasts = min(self.left_bytes, self.right_bytes) <= self.limit
         self._held = None
+        self.spread = spread
 
     @staticmethod
     def _shape(df: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ class PairScan:
             (left_map, right_map) if held_is_left else (right_map, left_map)
         )
         stream = self.right if held_is_left else self.left
-        if max(self.left_bytes, self.right_bytes) <= self.limit:
+        if self.spread and max(self.left_bytes, self.right_bytes) <= self.limit:
             # small input: spread the arithmetic over all cores
             stream = stream.repartition(session.parallelism(self.spark))
         block = self._held_block()

@@ -133,11 +133,19 @@ def learn_map(
     dictionary, rows, state = seed, [], LoopState.start(config)
     inducer = scope = None
     if config.self_learning:
-        scope = tuple(
-            induction.vocabulary_cutoff(t.select("idx", "vec"), config.vocabulary_cutoff).persist()
-            for t in (src, trg)
+        # scanned twice a round: evenly spread and kept in memory
+        tasks = session.parallelism(src.sparkSession)
+        scope = []
+        for table in (src, trg):
+            table = induction.vocabulary_cutoff(
+                table.select("idx", "vec"), config.vocabulary_cutoff
+            )
+            if config.vocabulary_cutoff > 0:
+                table = table.repartition(tasks)
+            scope.append(table.persist())
+        inducer = induction.Inducer(
+            *scope, config.direction, config.csls, spread=config.vocabulary_cutoff <= 0
         )
-        inducer = induction.Inducer(*scope, config.direction, config.csls)
     clock = time.monotonic()
     while True:
         state = state.begin(config)
