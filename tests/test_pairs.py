@@ -162,6 +162,8 @@ def test_top_rows_settles_ties_across_the_cut():
 @pytest.mark.parametrize("in_order", [False, True])
 def test_square_root_similarity(vectors_of, route, rng, in_order):
     x = rng.normal(size=(40, 4))
+    single = vectors_of(x).withColumn("vec", F.col("vec").cast("array<float>"))
+    assert seed.sqrt_similarity(single, in_order).count() == 40
     values, basis = np.linalg.eigh(x @ x.T)
     root = (basis * np.sqrt(np.clip(values, 0, None))) @ basis.T
     got = seed.sqrt_similarity(vectors_of(x), in_order).collect()

@@ -324,7 +324,7 @@ def profile_rows(ids, mat, columns, first, in_order):
             [
                 pa.array(ids[a : a + step]),
                 pa.array(np.full(len(sims), first, dtype=np.int64)),
-                list_array(sims),
+                list_array(sims.astype(np.float64, copy=False)),
             ],
             names=["idx", "first", "part"],
         )
