@@ -250,7 +250,9 @@ def scan_tiles(jobs, held, stream, held_is_left: bool, own_mean: int = 0):
         else _HeldLogSumExp(rows)
         for job in jobs
     ]
-    step = max(1, TILE_CELLS // max(1, rows))
+    # very thin tiles waste the matrix product, so wide blocks get larger ones
+    fit = TILE_CELLS // max(1, rows)
+    step = max(1, fit, min(96, 4 * fit))
     for ids, mat, extra in stream:
         order = np.argsort(ids, kind="stable")
         ids, mat = ids[order], mat[order]

@@ -95,7 +95,8 @@ class _Counter:
         self.above = np.zeros(self.sims.shape, dtype=np.int64)
 
     def add(self, ids, mat):
-        step = max(1, tiles.TILE_CELLS // len(self.trg_ids))
+        # long runs of sources: each one costs a search per target row
+        step = max(1, min(4096, 8 * tiles.TILE_CELLS // len(self.trg_ids)))
         for a in range(0, len(ids), step):
             self._add(ids[a : a + step], mat[a : a + step])
 
