@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .pii import pseudonymise
 from .quality import quality_rules
+from .substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,31 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), windows AS (
+  SELECT doc_id, i AS start, array_to_string(ws[i : i + 12], ' ') AS key
+  FROM w, unnest(generate_series(1, len(ws)::BIGINT - 12)) AS u(i)
+), first AS (SELECT key, min(doc_id) AS a FROM windows GROUP BY key),
+hit AS (SELECT DISTINCT doc_id, start + o AS pos FROM windows JOIN first USING (key),
+        unnest(generate_series(0, 12)) AS u(o) WHERE doc_id > a),
+gone AS (SELECT doc_id, list(pos) AS cut FROM hit GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+         array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(cut, i), false)), ' ') AS text
+  FROM w LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256 FROM kept
+"""
