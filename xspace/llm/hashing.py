@@ -29,11 +29,16 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def slices(texts, prepare=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, hashes of the words of some texts in a row, words per text)."""
+def slices(texts, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, hashes of the words of some texts in a row, words per text).
+
+    ``lower`` folds the letters A-Z and no others.
+    """
     first, words, sizes = 0, [], []
     for text in texts:
-        own = split_words(text if prepare is None else prepare(text))
+        own = split_words(text)
+        if lower:
+            own = [w.lower() for w in own]
         words += own
         sizes.append(len(own))
         if len(words) >= SLICE_WORDS:
@@ -63,7 +68,7 @@ def sequence_hashes(words: np.ndarray, length: int, base: np.uint64) -> np.ndarr
         if rest:
             n = len(words) - 2 * at_size + 1
             grown = grown[:n] * power + grown[at_size : at_size + n]
-            power = power * power
+            power = np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
             at_size *= 2
     return out[: len(words) - length + 1]
 
