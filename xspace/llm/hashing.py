@@ -7,26 +7,27 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-MOST_WORDS = 400_000  # remembered by a worker at once
-SLICE_WORDS = 300_000  # words handled by one array pass
+SLICE_BYTES = 2_000_000  # text handled by one array pass; one longer text is a pass of its own
+LONG_WORD = 256  # bytes; longer words are hashed one by one
 # Two independent odd multipliers: together they make 128-bit sequence hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.random.default_rng(2025).integers(0, 2**64, 256, dtype=np.uint64)
+_POWER = np.cumprod(np.full(LONG_WORD, np.uint64(0xA24BAED4963EE407)), dtype=np.uint64)
 
 
-_WORDS = WordHashes()
+def split_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words of a text as UTF-8; bytes split at space and at 09-0D alone, and fold A-Z alone."""
+    raw = _raw(text, lower)
+    return raw.split()
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8; bytes split at space and at 09-0D alone."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def _raw(text: str | None, lower: bool) -> bytes:
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    return raw.lower() if lower else raw
 
 
 def slices(texts, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -34,22 +35,38 @@ def slices(texts, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.nda
 
     ``lower`` folds the letters A-Z and no others.
     """
-    first, words, sizes = 0, [], []
+    first, parts, held = 0, [], 0
     for text in texts:
-        own = split_words(text)
-        if lower:
-            own = [w.lower() for w in own]
-        words += own
-        sizes.append(len(own))
-        if len(words) >= SLICE_WORDS:
-            yield first, _hashed(words), np.array(sizes)
-            first, words, sizes = first + len(sizes), [], []
-    if sizes:
-        yield first, _hashed(words), np.array(sizes)
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+        raw = _raw(text, lower)
+        parts.append(raw)
+        held += len(raw)
+        if held >= SLICE_BYTES:
+            yield first, *word_hashes(parts)
+            first, parts, held = first + len(parts), [], 0
+    if parts:
+        yield first, *word_hashes(parts)
+
+
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and the number of words of each text.
+
+    A word's hash is the sum of random numbers of its bytes, each times a power for its
+    place in the word, scrambled.
+    """
+    raw = b"\n".join(parts)
+    codes = np.frombuffer(raw, dtype=np.uint8)
+    in_word = np.concatenate([[False], ~_SPACE[codes], [False]])
+    starts = np.flatnonzero(in_word[1:-1] & ~in_word[:-2])
+    ends = np.flatnonzero(in_word[1:-1] & ~in_word[2:]) + 1
+    lengths = ends - starts
+    begins = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(begins, lengths)
+    terms = _BYTE[codes[in_word[1:-1]]] * _POWER[np.minimum(place, LONG_WORD - 1)]
+    hashes = mixed(np.add.reduceat(terms, begins)) if len(starts) else np.zeros(0, np.uint64)
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        hashes[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    text_ends = np.cumsum([len(p) + 1 for p in parts])
+    return hashes, np.diff(np.searchsorted(starts, text_ends), prepend=0)
 
 
 def sequence_hashes(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:

@@ -34,9 +34,11 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray, length: int):
         for j in range(int(sizes[short].max())):
             here = sizes[short] > j
             own[here] = own[here] * BASES[1] + words[begin[short[here]] + j]
-        text, hashes = np.concatenate([text, short]), np.concatenate([hashes, mixed(own)])
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
+        at = np.searchsorted(text, short)
+        text, hashes = np.insert(text, at, short), np.insert(hashes, at, mixed(own))
+    ends = np.cumsum(np.bincount(text, minlength=len(sizes))).tolist()
+    for low, high in zip([0, *ends], ends):  # short sorts in place are faster than one of all
+        hashes[low:high].sort()
     new = np.ones(len(text), dtype=bool)
     new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
     return text[new], hashes[new]
@@ -63,8 +65,9 @@ def _facts(docs: DataFrame, length: int) -> DataFrame:
                 bits = np.bincount(text * SKETCH_BITS + (hashes % SKETCH_BITS).astype(np.int64), minlength=len(sizes) * SKETCH_BITS)
                 sketch = np.packbits((bits & 1).astype(np.uint8)).view("<i8")
                 sums = [np.zeros(len(sizes), dtype=np.uint64) for _ in BASES]
-                for total, base in zip(sums, BASES):
-                    np.add.at(total, text, mixed(hashes * base))
+                if len(text):
+                    for total, base in zip(sums, BASES):
+                        total[n > 0] = np.add.reduceat(mixed(hashes * base), (np.cumsum(n) - n)[n > 0])
                 held.append(hashes)
                 n_held += len(sizes)
                 found = None
@@ -112,10 +115,9 @@ def block_keys(text, hashes, n, common, percent: int):
     with one of the next band are also laid out as that band's.
     """
     out = []
-    rare = np.zeros(len(hashes), dtype=np.uint64)
+    often = np.zeros(len(hashes), dtype=bool)
     if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rare[common[at] == hashes] = 1
+        often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
     band = np.zeros(len(n), dtype=np.int64)
     top = np.full(len(n), BAND - 1, dtype=np.int64)
     while (n > top).any():
@@ -123,24 +125,27 @@ def block_keys(text, hashes, n, common, percent: int):
         top = BAND ** (band + 1) - 1
     for shift in (0, 1):
         chosen = n > 0 if not shift else n * 100 // percent > top
-        use = chosen[text]
-        t, h, c = text[use], hashes[use], rare[use]
-        if not len(t):
-            continue
-        own = band[t] + shift
-        # small sets: every element is a block; others about one to two elements in a block
-        blocks = np.where(own < 4, 2**40, BAND ** (own + 1) // 2).astype(np.uint64)
-        block = (mixed(h ^ BASES[1]) % blocks) | (c << np.uint64(41))
-        order = np.lexsort((block, t))
-        t, h, block, own = t[order], h[order], block[order], own[order]
-        begins = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])]))
-        value = np.bitwise_xor.reduceat(h, begins)
-        t, block, own = t[begins], block[begins], own[begins]
-        first = np.concatenate([[True], t[1:] != t[:-1]])
-        rank = np.arange(len(t)) - np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
-        keep = rank <= most_different(n[t], percent)
-        key = mixed(value ^ mixed(block + (own.astype(np.uint64) << np.uint64(48))))
-        out.append((t[keep], key[keep].view(np.int64)))
+        placed = np.zeros(len(n), dtype=np.int64)  # blocks of each text so far
+        for behind in (False, True):
+            use = chosen[text] & (often == behind)
+            t, h = text[use], hashes[use]
+            if not len(t):
+                continue
+            own = band[t] + shift
+            # small sets: every element is a block; others about one to two elements in a
+            # block. Elements are in order, and so are the blocks they fall into.
+            blocks = (BAND ** (own + 1) // 2).astype(np.uint64)
+            block = np.where(own < 4, h, ((h >> np.uint64(32)) * blocks) >> np.uint64(32))
+            begins = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])]))
+            value = np.bitwise_xor.reduceat(h, begins)
+            t, block, own = t[begins], block[begins], own[begins]
+            first = np.concatenate([[True], t[1:] != t[:-1]])
+            rank = np.arange(len(t)) - np.maximum.accumulate(np.where(first, np.arange(len(t)), 0)) + placed[t]
+            placed += np.bincount(t, minlength=len(n))
+            keep = rank <= most_different(n[t], percent)
+            kind = (own * 2 + behind).astype(np.uint64)
+            key = mixed(value ^ mixed(block + BASES[1] * kind))
+            out.append((t[keep], key[keep].view(np.int64)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -178,27 +183,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
     """Those of ``pairs`` (u, v) whose whole texts link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets_of(texts):
+            for _, words, sizes in slices(texts, lower=True):
+                text, hashes = shingle_sets(words, sizes, length)
+                yield from np.split(hashes, np.searchsorted(text, np.arange(1, len(sizes))))
+
         for batch in batches:
-            left, right = ([t.as_py() for t in batch.column(c)] for c in ("t1", "t2"))
-            linked = np.zeros(len(left), dtype=bool)
-            for at in range(0, len(left), 64):
-                part = [t for pair in zip(left[at : at + 64], right[at : at + 64]) for t in pair]
-                sets = {}
-                for first, words, sizes in slices(part, lower=True):
-                    text, hashes = shingle_sets(words, sizes, length)
-                    cuts = np.searchsorted(text, np.arange(len(sizes) + 1))
-                    sets |= {first + k: hashes[cuts[k] : cuts[k + 1]] for k in range(len(sizes))}
-                for k in range(0, len(part), 2):
-                    both = len(np.intersect1d(sets[k], sets[k + 1], assume_unique=True))
-                    either = len(sets[k]) + len(sets[k + 1]) - both
-                    linked[at + k // 2] = both > 0 and 100 * both >= percent * either
+            linked = np.zeros(len(batch), dtype=bool)
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                u = part.column("u").to_numpy()
+                new = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))  # rows come sorted by u
+                own = dict(zip(new.tolist(), sets_of(part.column("t1")[k].as_py() for k in new.tolist())))
+                left = None
+                for k, right in enumerate(sets_of(t.as_py() for t in part.column("t2"))):
+                    left = own.get(k, left)
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    linked[at + k] = both > 0 and 100 * both >= percent * (len(left) + len(right) - both)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).filter(pa.array(linked)) for c in ("u", "v")], ["u", "v"]
             )
 
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("t1"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("t2"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "t1", "t2")
+    joined = pairs.join(right, "v").join(left, "u").select("u", "v", "t1", "t2")
     return settle(joined.mapInArrow(run, "u long, v long"))
 
 
