@@ -40,8 +40,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data replaced by pseudonyms of equal length."""
-    return pseudonymise(docs, PII_KEY)
+    """The same documents with personal data replaced by pseudonyms; n_chars follows the text."""
+    out = pseudonymise(docs, PII_KEY)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars").cast("long")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,11 +65,12 @@ class Pieces:
             for end in range(k + 1, len(word) + 1):
                 high, how = -math.inf, None
                 for start in range(max(0, end - longest), end):
+                    if start and word[start] == MARK:
+                        continue  # a mark inside a word is text, never a space
                     found = score.get(word[start:end])
                     if found is not None and best[start] + found[0] > high:
                         high, how = best[start] + found[0], (start, (found[1],))
-                # the mark itself inside a word is text, never a space
-                if how is None or word[end - 1] == MARK and end > 1:
+                if how is None:
                     raw = word[end - 1].encode("utf-8", "surrogatepass")
                     high = best[end - 1] + len(raw) * (self.worst - 10)
                     how = (end - 1, tuple(self.bytes[b] for b in raw))
