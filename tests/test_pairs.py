@@ -192,3 +192,9 @@ def test_rank_by_counting(vectors_of, rng, monkeypatch):
             ranked.append((above, -row[q], t))
         assert (r["score"], r["trg_idx"]) == (min(ranked)[0], min(ranked)[2])
     assert sorted(r["src_idx"] for r in got) == queries
+
+
+def test_sizes_with_an_empty_first_table(vectors_of, rng):
+    some = vectors_of(rng.normal(size=(5, 4)))
+    none, full = pairs.measure(some.limit(0), some)
+    assert (none.rows, none.bytes) == (0, 0) and (full.rows, full.bytes) == (5, 5 * 4 * 8)

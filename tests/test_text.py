@@ -155,3 +155,18 @@ def test_training_log_lines(spark):
 def test_set_precision(vectors_of):
     emb = text.set_precision(vectors_of(np.eye(2)), "fp32")
     assert emb.schema["vec"].dataType.simpleString() == "array<float>"
+
+
+def test_no_line_is_lost_when_files_are_split_anew(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        lines = text.ordered_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        got = lines.orderBy("line_no").collect()
+    finally:
+        for key in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert [(r["line_no"], r["value"]) for r in got] == [(i, f"line {i}") for i in range(3000)]

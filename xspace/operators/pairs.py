@@ -40,8 +40,9 @@ def measure(*tables: DataFrame) -> list[Size]:
         ],
     )
     rows = {r["i"]: r["n"] for r in counts.collect()}
-    first = tables[0].select(F.size("vec")).head()
-    width = first[0] if first else 0
+    # an empty table has no width; its rows are none, but the others' count
+    firsts = (t.select(F.size("vec")).head() for t in tables)
+    width = next((f[0] for f in firsts if f), 0)
 
     def itemsize(t):
         return 4 if "float" in t.schema["vec"].dataType.simpleString() else 8

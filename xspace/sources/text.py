@@ -37,16 +37,20 @@ def ordered_lines(
     """(file, line_no, value): text lines numbered from 0 in file order.
 
     Lines are counted per input split and the counts summed up in split order, so
-    numbering is a join with one small row per split and never a global sort.
+    numbering is a join with one small row per split and never a global sort. The
+    lines are written once with the split they came in: a later action, with other
+    executors or settings, would split the files anew and no longer fit the counts.
     Several files count on from each other unless ``per_file``.
     """
     code = charset(encoding)
     split = ["file", "start"]
-    raw = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("mid"),
+    raw = session.cut_lineage(
+        spark.read.text(paths).select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("mid"),
+        )
     )
     counts = raw.groupBy(*split).agg(
         F.min("mid").alias("first"), F.count("*").alias("n")
@@ -65,9 +69,11 @@ def ordered_lines(
     value = F.col("value")
     if code is not None:
         value = F.decode(value.cast("binary"), code)
-    return raw.join(session.cut_lineage(starts), split).select(
+    line_no = F.col("mid") - F.col("first") + F.col("offset")
+    known = _require(line_no.isNotNull(), F.lit("a split without an offset"), line_no)
+    return raw.join(session.cut_lineage(starts), split, "left").select(
         "file",
-        (F.col("mid") - F.col("first") + F.col("offset")).alias("line_no"),
+        known.alias("line_no"),
         value.alias("value"),
     )
 
