@@ -244,8 +244,8 @@ def parse_analogy_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
     """(line_no, category, is_syntactic, a, b, c, d, _corrupt_record).
 
     A line starting with ``": "`` opens a category that holds until the next one. A
-    question without four words is kept with its text in ``_corrupt_record``; a
-    question before any category is an error.
+    question of fewer than four words is kept with its text in ``_corrupt_record``, of
+    a longer one the first four words count; a question before any category is an error.
     """
     value = F.col("value")
     header = F.startswith(value, F.lit(ANALOGY_HEADER))
@@ -258,7 +258,7 @@ def parse_analogy_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
     questions = placed.where(F.col("_header").isNull())
     tokens = _tokens(F.lower(value) if lowercase else value)
     message = F.concat(F.lit("question before any category, line "), F.col("line_no"))
-    four = F.size("t") == 4
+    four = F.size("t") >= 4
     return questions.select(
         "line_no",
         _require(F.col("category").isNotNull(), message, F.col("category")).alias(
