@@ -170,9 +170,3 @@ def test_no_line_is_lost_when_files_are_split_anew(spark, tmp_path):
         for key in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
             spark.conf.unset(f"spark.sql.files.{key}")
     assert [(r["line_no"], r["value"]) for r in got] == [(i, f"line {i}") for i in range(3000)]
-
-
-def test_of_a_long_question_the_first_four_words_count(spark):
-    got = text.parse_analogy_lines(lines_of(spark, [": x", "a b c d e", "a b c"])).orderBy("line_no").collect()
-    assert [got[0][c] for c in "abcd"] == list("abcd") and got[0]["_corrupt_record"] is None
-    assert got[1]["_corrupt_record"] == "a b c"
