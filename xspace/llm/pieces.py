@@ -40,7 +40,15 @@ class Pieces:
         }
         self.bytes = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.score))
+        # every end of a piece: with its score and id if it is a piece itself, else None
+        self.ends: dict[str, tuple[float, int] | None] = dict(self.score)
+        for t in self.score:
+            for k in range(1, len(t)):
+                self.ends.setdefault(t[k:], None)
+        # what a piece shows: its text with a space for the mark, None for bytes
+        self.shown = [
+            None if i in self.byte_of else " " + t[1:] if t[:1] == MARK else t for i, t in enumerate(self.text)
+        ]
         self.worst = min(s for s, _ in self.score.values())
         self._known: dict[str, bytes] = {}
 
@@ -53,7 +61,7 @@ class Pieces:
         keeps the forward scores of their common prefix and computes only what follows.
         A character without a piece costs its bytes, each worse than any piece.
         """
-        out, score, longest = {}, self.score, self.longest
+        out, piece_or_end = {}, self.ends.get
         best: list[float] = [0.0]
         back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         last = ""
@@ -64,12 +72,17 @@ class Pieces:
             del best[k + 1 :], back[k + 1 :]
             for end in range(k + 1, len(word) + 1):
                 high, how = -math.inf, None
-                for start in range(max(0, end - longest), end):
+                for start in range(end - 1, -1, -1):
+                    found = piece_or_end(word[start:end], ())
+                    if not found:
+                        if found is None:
+                            continue
+                        break  # no piece ends so
                     if start and word[start] == MARK:
                         continue  # a mark inside a word is text, never a space
-                    found = score.get(word[start:end])
-                    if found is not None and best[start] + found[0] > high:
-                        high, how = best[start] + found[0], (start, (found[1],))
+                    total = best[start] + found[0]
+                    if total >= high:
+                        high, how = total, (start, (found[1],))
                 if how is None:
                     raw = word[end - 1].encode("utf-8", "surrogatepass")
                     high = best[end - 1] + len(raw) * (self.worst - 10)
@@ -100,16 +113,16 @@ class Pieces:
     def decode(self, ids: bytes) -> str:
         """The text of ids: marks become spaces, the first one none; bytes are joined."""
         parts, run = [], bytearray()
+        text, byte_of = self.shown, self.byte_of
         for i in np.frombuffer(ids, dtype="<i4").tolist():
-            byte = self.byte_of.get(i)
-            if byte is not None:
-                run.append(byte)
+            piece = text[i]
+            if piece is None:
+                run.append(byte_of[i])
                 continue
             if run:
                 parts.append(run.decode("utf-8", "surrogatepass"))
                 run = bytearray()
-            piece = self.text[i]
-            parts.append(" " + piece[1:] if piece[:1] == MARK else piece)
+            parts.append(piece)
         if run:
             parts.append(run.decode("utf-8", "surrogatepass"))
         return "".join(parts)[1:]
