@@ -13,7 +13,7 @@ from .common import settle, small_side
 from .graph import components
 from .hashing import BASES, mixed, sequence_hashes, slices, starts_inside
 
-SKETCH_BITS = 512
+SKETCH_BITS = 512  # larger sets have a second sketch with at least one bit an element
 COMMON_SHARE = 1e-3  # of the documents: shingles of more are laid in blocks of their own
 MOST_COMMON = 500_000
 BAND = 4  # ratio of the set sizes of a band
@@ -45,9 +45,10 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray, length: int):
 
 
 def _facts(docs: DataFrame, length: int) -> DataFrame:
-    """(id, n, set1, set2, sketch, common): per document the size of its set, two digests of
-    it and its parity sketch; now and then also the shingles frequent among recent documents."""
-    schema = "id long, n long, set1 long, set2 long, sketch array<long>, common array<long>, counts array<long>"
+    """(id, n, set1, set2, sketch, wide, common, counts): per document the size of its set, two
+    digests of it, its parity sketch and that of a large set; now and then also the shingles
+    frequent among recent documents."""
+    schema = "id long, n long, set1 long, set2 long, sketch array<long>, wide array<long>, common array<long>, counts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -73,22 +74,38 @@ def _facts(docs: DataFrame, length: int) -> DataFrame:
                 found = None
                 if sum(map(len, held)) > 2_000_000:
                     found, held, n_held = frequent(), [], 0
-                yield _fact_batch(ids.slice(first, len(sizes)), n, sums, sketch, found)
+                wide = wide_sketches(text, hashes, n)
+                yield _fact_batch(ids.slice(first, len(sizes)), n, sums, sketch, wide, found)
         if held:
-            yield _fact_batch(pa.array([None], pa.int64()), np.array([-1]), [np.zeros(1, np.uint64)] * 2, np.zeros(SKETCH_BITS // 64, "<i8"), frequent())
+            yield _fact_batch(pa.array([None], pa.int64()), np.array([-1]), [np.zeros(1, np.uint64)] * 2, np.zeros(SKETCH_BITS // 64, "<i8"), [None], frequent())
 
     return docs.mapInArrow(run, schema)
 
 
-def _fact_batch(ids, n, sums, sketch, found):
+def wide_sketches(text, hashes, n) -> list[np.ndarray | None]:
+    """Parity sketches of the sets of more than SKETCH_BITS elements, as 64-bit words.
+
+    The number of bits is the next power of two, so that a longer sketch folds to a
+    shorter one: halves are joined by XOR.
+    """
+    out: list[np.ndarray | None] = [None] * len(n)
+    ends = np.cumsum(n)
+    for k in np.flatnonzero(n > SKETCH_BITS):
+        size = 1 << int(n[k] - 1).bit_length()
+        bits = np.bincount((hashes[ends[k] - n[k] : ends[k]] % np.uint64(size)).astype(np.int64), minlength=size)
+        out[k] = np.packbits((bits & 1).astype(np.uint8)).view("<i8")
+    return out
+
+
+def _fact_batch(ids, n, sums, sketch, wide, found):
     lists = [None] * len(n), [None] * len(n)
     if found is not None:
         lists[0][-1], lists[1][-1] = found
     width = SKETCH_BITS // 64
     offsets = pa.array(np.arange(0, width * len(n) + 1, width, dtype=np.int32))
     columns = [ids, pa.array(n.astype(np.int64)), *[pa.array(s.view(np.int64)) for s in sums],
-               pa.ListArray.from_arrays(offsets, pa.array(sketch)), *[pa.array(x, pa.list_(pa.int64())) for x in lists]]
-    return pa.RecordBatch.from_arrays(columns, ["id", "n", "set1", "set2", "sketch", "common", "counts"])
+               pa.ListArray.from_arrays(offsets, pa.array(sketch)), pa.array(wide, pa.list_(pa.int64())), *[pa.array(x, pa.list_(pa.int64())) for x in lists]]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n", "set1", "set2", "sketch", "wide", "common", "counts"])
 
 
 # -- sketch blocks -----------------------------------------------------------------
@@ -206,14 +223,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
 
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("t1"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("t2"))
-    joined = pairs.join(right, "v").join(left, "u").select("u", "v", "t1", "t2")
+    joined = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "t1", "t2")
     return settle(joined.mapInArrow(run, "u long, v long"))
 
 
-def _checked(pairs: DataFrame, facts: DataFrame, source: DataFrame, length: int, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(u, v, both): the pairs that sizes and sketches allow, with the sum of the sizes."""
     a = facts.select(F.col("id").alias("u"), F.struct("n", "sketch").alias("a"))
     b = facts.select(F.col("id").alias("v"), F.struct("n", "sketch").alias("b"))
-    likely = settle(pairs.join(a, "u").join(b, "v").where(_plausible("a", "b", percent)).select("u", "v"))
+    near = pairs.join(a, "u").join(b, "v").where(_plausible("a", "b", percent))
+    return _allowed_wide(near.select("u", "v", (F.col("a.n") + F.col("b.n")).alias("both")), facts, percent)
+
+
+def _allowed_wide(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v, both) whose wide sketches allow it too.
+
+    Sketches of equal length, or of twice the length and folded, are compared; a pair
+    without two such sketches stays.
+    """
+    wide = facts.where("wide IS NOT NULL")
+    a = wide.select(F.col("id").alias("u"), F.col("wide").alias("x"))
+    b = wide.select(F.col("id").alias("v"), F.col("wide").alias("y"))
+    least = F.least(F.size("x"), F.size("y"))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    fold = lambda c: F.when(
+        F.size(c) > least, F.zip_with(F.slice(c, 1, least), F.slice(c, least + 1, least), xor)
+    ).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(fold("x"), fold("y"), xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.greatest(F.size("x"), F.size("y")) <= 2 * least)
+    far = F.when(known, apart * (100 + percent) > F.col("both") * (100 - percent)).otherwise(False)
+    return settle(pairs.join(a, "u", "left").join(b, "v", "left").where(~far).select("u", "v", "both"))
+
+
+def _checked(likely: DataFrame, source: DataFrame, length: int, percent: int) -> DataFrame:
     ids = likely.select(F.col("u").alias("has")).unionByName(likely.select(F.col("v").alias("has"))).distinct()
     texts = source.join(small_side(settle(ids), 64), F.col("id") == F.col("has"), "left_semi")
     return _verified(likely, texts, length, percent)
@@ -252,35 +294,38 @@ def jaccard_groups(
     common = spark.sparkContext.broadcast(common)
 
     distinct = rows.where("id IS NOT NULL AND n > 0").groupBy("id").agg(
-        F.min(F.struct("n", "set1", "set2", "sketch")).alias("f")
+        F.min(F.struct("n", "set1", "set2", "sketch", "wide")).alias("f")
     ).select("id", "f.*")
     least = distinct.groupBy("n", "set1", "set2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
     copies = settle(distinct.join(least, ["n", "set1", "set2"]).where("id > rep").select("id", "rep"))
-    facts = settle(distinct.join(copies, "id", "left_anti").select("id", "n", "sketch"))
+    facts = settle(distinct.join(copies, "id", "left_anti").select("id", "n", "sketch", "wide"))
     gone = small_side(copies.select(F.col("id").alias("copy")), 64)
     source = source.where("id IS NOT NULL AND text IS NOT NULL").join(gone, F.col("id") == F.col("copy"), "left_anti")
 
-    keys = _keys(source, common, length, percent)
+    keys = settle(_keys(source, common, length, percent))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     members = settle(keys.join(shared, "key"))
     stars = members.select(F.col("a").alias("u"), F.col("id").alias("v")).unionByName(
         members.select(F.col("id").alias("u"), F.col("z").alias("v"))
     )
-    found = _checked(stars.where("u <> v").distinct(), facts, source, length, percent)
+    compared = _likely(stars.where("u <> v").distinct(), facts, percent)
+    found = _checked(compared, source, length, percent)
     labels = components(found)
 
     # blocks that hold several classes: the pairs that neither the least nor the largest id has settled
     others = members.where("id <> a AND id <> z").select("key", "id").distinct()
     labelled = others.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed_blocks = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    open_ = labelled.join(mixed_blocks.select("key"), "key").join(facts, "id")
+    open_ = labelled.join(mixed_blocks.select("key"), "key").join(facts.drop("wide"), "id")
     open_ = settle(open_.select("key", F.struct("id", "label", "n", "sketch").alias("a")))
     again = open_.withColumnRenamed("a", "b")
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b", percent)
     crossed = open_.join(again, (open_["key"] == again["key"]) & apart).select(
-        F.col("a.id").alias("u"), F.col("b.id").alias("v")
+        F.col("a.id").alias("u"), F.col("b.id").alias("v"), (F.col("a.n") + F.col("b.n")).alias("both")
     )
-    more = _checked(crossed.distinct(), facts, source, length, percent)
+    # a pair of another block that was compared there and does not link is not read again
+    fresh = _allowed_wide(crossed.distinct().join(compared, ["u", "v"], "left_anti"), facts, percent)
+    more = _checked(fresh, source, length, percent)
     labels = components(found.unionByName(more)) if more.head() is not None else labels
 
     classes = rows.select("id", F.col("n").alias("n_shingles")).join(copies, "id", "left")
