@@ -31,7 +31,7 @@ def resolve_questions(questions: DataFrame, emb: DataFrame) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("slot"), F.col(c).alias("word")) for c in "abcd"])
         ).alias("w"),
     ).select("line_no", "w.slot", "w.word")
-    found = lookup(words, word_index(emb), "word", rows=4 * questions.count())
+    found = lookup(words, word_index(emb), "word")
     slots = found.groupBy("line_no").agg(
         F.count("*").alias("n"),
         *[
@@ -62,10 +62,11 @@ def question_vectors(resolved: DataFrame, emb: DataFrame) -> DataFrame:
     # one row per (question, word), so that copies of a term cannot pile up
     terms = terms.groupBy("line_no", "word_idx").agg(F.sum("sign").alias("sign"))
     table = emb.select(F.col("idx").alias("word_idx"), "vec")
-    scaled = lookup(terms, table, "word_idx", rows=3 * resolved.count()).select(
-        "line_no", F.transform("vec", lambda x: x * F.col("sign")).alias("vec")
+    scaled = lookup(terms, table, "word_idx").select(
+        "line_no", "word_idx", F.transform("vec", lambda x: x * F.col("sign")).alias("vec")
     )
-    # at most three vectors per question
+    # at most three vectors per question, added in the order of their words' ids
+    vs = F.transform(F.array_sort("vs"), lambda v: v["vec"])
     first = F.slice("vs", 2, 3)
     total = F.aggregate(
         first,
@@ -74,7 +75,8 @@ def question_vectors(resolved: DataFrame, emb: DataFrame) -> DataFrame:
     )
     return (
         scaled.groupBy("line_no")
-        .agg(F.collect_list("vec").alias("vs"))
+        .agg(F.collect_list(F.struct("word_idx", "vec")).alias("vs"))
+        .select("line_no", vs.alias("vs"))
         .select(F.col("line_no").alias("idx"), total.alias("vec"))
     )
 

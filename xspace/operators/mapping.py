@@ -70,7 +70,7 @@ def gram_rows(df: DataFrame, partials=_gram_rows) -> DataFrame:
     schema = "i int, row array<double>"
     partial = df.mapInArrow(partials, schema)
     # one key per matrix row: tasks hold at most their share of the rows
-    tasks = min(64, session.shuffle_partitions(df.sparkSession))
+    tasks = session.shuffle_partitions(df.sparkSession)
     return partial.repartition(tasks, "i").mapInArrow(_sum_rows, schema)
 
 

@@ -291,8 +291,9 @@ def log_partition(
     Partial sums are rescaled to their common maximum, so no term overflows.
     """
     raw = PairScan(left, right, sizes).run([LogSumExp("right", beta, weighted)])
-    topped = raw.selectExpr(
-        "idx", "score", "aux", "max(score) OVER (PARTITION BY idx) AS top"
-    )
+    # two aggregates with constant state; no row's partials are sorted or meet in one task.
+    # Both read the partials, which cost a scan of all pairs: they are written once.
+    raw = session.cut_lineage(raw.select("idx", "score", "aux"))
+    top = raw.groupBy("idx").agg(F.max("score").alias("top"))
     total = F.expr("first(top) + ln(sum(aux * exp(score - top)))")
-    return topped.groupBy("idx").agg(total.alias("value"))
+    return raw.join(top, "idx").groupBy("idx").agg(total.alias("value"))

@@ -122,13 +122,19 @@ class _Counter:
         tied = np.flatnonzero(
             (below < len(bars)) & (bars[np.minimum(below, len(bars) - 1)] == values)
         )
-        lo, hi = below[tied], np.searchsorted(bars, values[tied], side="right")
-        for source, a, b in zip(ids[tied], lo, hi):
-            if b - a == 1 and self.asked_ids[self.order[row, a]] == source:
-                continue
-            for position in self.order[row, a:b]:
-                if source < self.asked_ids[position]:
-                    self.above[row, position] += 1
+        if not len(tied):
+            return
+        # sources by (bar, id); a query's lower sources are those between two searches
+        runs, sources = below[tied], ids[tied]
+        by_run = np.lexsort((sources, runs))
+        sources = sources[by_run]
+        values_, begins = np.unique(runs[by_run], return_index=True)
+        ends = np.append(begins[1:], len(sources))
+        upper = np.searchsorted(bars, bars[values_], side="right")
+        for a, b, begin, end in zip(values_, upper, begins, ends):
+            places = self.order[row, a:b]
+            lower = np.searchsorted(sources[begin:end], self.asked_ids[places], side="left")
+            self.above[row, places] += lower
 
     def result(self):
         # lexicographic minimum of (rank, -sim, target) down each column

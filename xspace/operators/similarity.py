@@ -28,11 +28,8 @@ def pair_scores(
     w1, w2 = pairs.select("w1").distinct(), pairs.select("w2").distinct()
     left = src.join(w1, F.col("word") == F.col("w1"), "left_semi")
     right = trg.join(w2, F.col("word") == F.col("w2"), "left_semi")
-    rows = pairs.count()
-    found = lookup(pairs, _word_vectors(left, "w1", "v1"), "w1", "left", rows)
-    found = lookup(
-        found, _word_vectors(right, "w2", "v2"), "w2", "left", rows, counted=pairs
-    )
+    found = lookup(pairs, _word_vectors(left, "w1", "v1"), "w1", "left")
+    found = lookup(found, _word_vectors(right, "w2", "v2"), "w2", "left", counted=pairs)
     both = F.col("v1").isNotNull() & F.col("v2").isNotNull()
     cos = F.when(both, vectors.dot("v1", "v2"))
     return found.select("dataset", "line_no", "w1", "w2", "gold", cos.alias("cos"))

@@ -579,10 +579,9 @@ ORACLES = {
     "m6_reweighting": ZERO,
     "m7_dewhitening": "SELECT undone, block, i, j, gap FROM (SELECT unnest(['src', 'trg']) AS "
     "undone) u, (SELECT unnest(['xx', 'zz']) AS block) k, (" + ZERO + ") z",
-    "m8_dim_reduction": statement(
-        "src",
-        "SELECT idx, (len(vec) // 4)::INT AS dims, 0.0::DOUBLE AS gap FROM src",
-    ),
+    "m8_dim_reduction": "SELECT * FROM (SELECT unnest(['xx', 'zz']) AS block, i, j, v FROM "
+    f"({IDENTITY}) UNION ALL SELECT 'xz', i, j, gap FROM ({ZERO})) WHERE greatest(i, j) < "
+    "(SELECT max(len(embedding)) // 4 FROM embeddings)",
     "m9_advanced": statement("pair", f"SELECT i, {FOLLOW} FROM pair"),
     "m10_apply_map": statement(
         "src",

@@ -408,16 +408,16 @@ def m7_dewhitening(t):
 
 @query
 def m8_dim_reduction(t):
-    src, _, _, fit = _advanced(t, src_dewhiten="src", trg_dewhiten="trg")
+    # whitened and turned, the kept dimensions have an identity Gram on each side and
+    # the largest singular values, in order, between them
     keep = t.width // 4
-    full = mapping.apply_map(src, fit.src).select("idx", F.col("vec").alias("full"))
-    short = mapping.apply_map(src, fit.src[:, :keep])
-    gap = F.zip_with(F.slice("full", 1, keep), "vec", lambda x, y: F.abs(x - y))
-    return short.join(full, "idx").select(
-        "idx",
-        F.size("vec").alias("dims"),
-        rounded(F.array_max(gap)).alias("gap"),
+    src, trg, bag, fit = _advanced(t, dim_reduction=keep)
+    gram = _mapped_gram(src, trg, bag, fit.src, fit.trg)
+    own = gram.where(F.col("block") != "xz").select(
+        "block", "i", "j", rounded("v", 4).alias("v")
     )
+    cross = _off_expected(gram, fit.singular_values[:keep])
+    return own.unionAll(cross.select(F.lit("xz"), "i", "j", "gap"))
 
 
 @query
