@@ -257,18 +257,17 @@ part(
     f"JOIN ({spearman(SCORED)}) s ON s.dataset = c.dataset",
 )
 # -- analogies -------------------------------------------------------------------
-H = "((SELECT n FROM n) // 2)"
-part("base", "e n", f"SELECT i, v FROM e WHERE i < {H}")
+N = "(SELECT n FROM n)"
 PULLED = "list_transform(list_zip(b.v, c.v), lambda p: 0.2::DOUBLE * p[1] + p[2])"
 part(
     "vocab",
-    "base e n",
-    "SELECT i AS idx, 'b' || i AS word, v AS vec FROM base UNION ALL "
-    f"SELECT i + {H}, 'd' || i, {unit('m')} FROM (SELECT *, {norm('m')} AS nrm FROM ("
+    "e n",
+    "SELECT i AS idx, 'b' || i AS word, v AS vec FROM e UNION ALL "
+    f"SELECT i + {N}, 'd' || i, {unit('m')} FROM (SELECT *, {norm('m')} AS nrm FROM ("
     f"SELECT b.i, CASE WHEN b.i % 7 = 1 THEN {plus(PULLED, 'r.v', '-0.5::DOUBLE')} "
-    f"ELSE {plus('b.v', 'r.v', '0.7::DOUBLE')} END AS m FROM base b "
+    f"ELSE {plus('b.v', 'r.v', '0.7::DOUBLE')} END AS m FROM e b "
     "JOIN e r ON r.i = (SELECT n FROM n) - 1 - b.i % 10 "
-    f"JOIN base c ON c.i = (b.i + 3) % {H}))",
+    f"JOIN e c ON c.i = (b.i + 3) % {N}))",
 )
 part(
     "quest",
@@ -277,7 +276,7 @@ part(
     "(CASE WHEN i % 10 >= 5 THEN 'gram' ELSE 'sem' END) || (i % 10) AS category, "
     "i % 10 >= 5 AS is_syntactic, 'b' || i AS a, 'd' || i AS b, 'b' || (i + 10) AS c, "
     "CASE WHEN i % 37 = 36 THEN 'zzz' || i ELSE 'd' || (i + 10) END AS d "
-    f"FROM e WHERE i < {H} - 10",
+    f"FROM e WHERE i < {N} - 10",
 )
 
 
@@ -311,7 +310,7 @@ def resolved(name: str, vocabulary: str) -> None:
     )
 
 
-part("vocabcut", "vocab n", "SELECT * FROM vocab WHERE idx < (SELECT n FROM n) * 3 // 4")
+part("vocabcut", "vocab n", "SELECT * FROM vocab WHERE idx < (SELECT n FROM n) * 3 // 2")
 resolved("full", "vocab")
 resolved("cut", "vocabcut")
 REPORT = (

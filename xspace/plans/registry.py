@@ -760,6 +760,6 @@ def a7_totals(t):
 
 @query
 def a8_vocabulary_limit(t):
-    emb = t.analogy_vocabulary().where(F.col("idx") < t.n * 3 // 4)
+    emb = t.analogy_vocabulary().where(F.col("idx") < t.n * 3 // 2)
     solved = jobs.evaluate_analogy(t.analogy_questions(), emb)
     return _report(analogy.totals(solved), "level", "is_syntactic", "category")

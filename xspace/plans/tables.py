@@ -161,11 +161,10 @@ class Tables:
     @written
     def analogy_vocabulary(self) -> DataFrame:
         """Words b0.. and d0.. where d is b moved by a step shared by its category."""
-        half = self.n // 2
-        base = self.base().where(f"i < {half}")
+        base = self.base()
         steps = self.base().where(f"i >= {self.n - 10}")
         steps = steps.selectExpr(f"{self.n - 1} - i AS l", "v AS r")
-        third = base.selectExpr(f"(i + {half - 3}) % {half} AS i", "v AS u")
+        third = base.selectExpr(f"(i + {self.n - 3}) % {self.n} AS i", "v AS u")
         rows = base.withColumn("l", base["i"] % 10).join(steps, "l").join(third, "i")
         pulled = "zip_with(v, u, (x, y) -> 0.2D * x + y)"
         moved = rows.selectExpr(
@@ -177,13 +176,13 @@ class Tables:
             "i AS idx", "concat('b', i) AS word", "v AS vec"
         ).unionAll(
             moved.selectExpr(
-                f"i + {half}", "concat('d', i)", vectors.unit_sql("m")
+                f"i + {self.n}", "concat('d', i)", vectors.unit_sql("m")
             )
         )
 
     def analogy_questions(self) -> DataFrame:
         """(line_no, category, is_syntactic, a, b, c, d); some d are unknown words."""
-        asked = self.ids().where(f"i < {self.n // 2 - 10}")
+        asked = self.ids().where(f"i < {self.n - 10}")
         return asked.selectExpr(
             f"(i % 10) * {self.n + 2} + 1 + i AS line_no",
             "concat(if(i % 10 >= 5, 'gram', 'sem'), i % 10) AS category",
