@@ -297,6 +297,52 @@ def test_lm_gradient():
         p[at] -= 1e-5
 
 
+def test_lm_words(spark, docs, empty):
+    from xspace.llm.hashing import word_hashes
+
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 60, 3000)) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train_words(corpus, epochs=6)
+    # the table holds every word, and with the rest the words of a class add up to one
+    distinct = {w for _, t in rows for w in t.split()}
+    known = {r.word: r.log_p for r in model.words.collect()}
+    assert len(known) == len(distinct) - model.own
+    assert np.isclose(sum(map(np.exp, known.values())) + np.exp(model.rest).sum(), lm.HASHED)
+    assert lm.OWN_PER_ROOT * (2 * 10**6) ** (1 / 3) > lm.FREQUENT  # classes grow with the words
+    common = " ".join(rows[0][1].split()[:20])
+    odd = [(1000, common), (1001, " ".join(f"qx{k}" for k in range(20))), (1002, None), (1003, ""), (None, common), (1000, common)]
+    asked = spark.createDataFrame([*rows[:5], *odd], "doc_id long, text string")
+    got = lm.score_words(asked, model).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[1001].pll_per_word < by_id[1000].pll_per_word - 2  # words never seen
+    assert len(got) == 11 and by_id[None].pll == by_id[1000].pll
+    assert by_id[1002].pll == by_id[1003].pll == 0 and by_id[1002].pll_per_word is None
+    # brute force: mixed class probability of windows of two words a side, times the word's share
+    tables = [n.table() for n in model.networks]
+    edge = model.own + lm.HASHED
+    for d, t in [*rows[:5], *odd[:2]]:
+        hashes, _ = word_hashes([t.encode()])
+        c = [edge, edge, *lm._classes(hashes, model.frequent, model.own).tolist(), edge, edge]
+        total = 0.0
+        for i, h in enumerate(hashes.view(np.int64).tolist(), 2):
+            p = sum(s * np.exp(float(t_[c[i - k], c[i + k], c[i]])) for k, (s, t_) in enumerate(zip(model.shares, tables), 1))
+            word = 0.0 if c[i] < model.own else known.get(h, model.rest[c[i] - model.own])
+            total += np.log(p) + word
+        assert abs(by_id[d].pll - total) < 1e-3 * len(hashes)
+    # the join gives the same
+    spark.conf.set("spark.xspace.broadcastBytes", "100")
+    try:
+        joined = sorted(lm.score_words(asked, model).collect(), key=str)
+    finally:
+        spark.conf.unset("spark.xspace.broadcastBytes")
+    for a, b in zip(sorted(got, key=str), joined):
+        assert (a.doc_id, a.n_words) == (b.doc_id, b.n_words) and abs(a.pll - b.pll) < 1e-6
+    model = lm.train_words(empty)
+    assert lm.score_words(empty, model).count() == 0
+    assert {r.pll for r in lm.score_words(docs.where("text = ''"), model).collect()} == {0.0}
+
+
 # 9
 def test_language(spark, empty, awkward):
     rng = random.Random(6)

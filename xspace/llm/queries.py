@@ -132,8 +132,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    network, frequent, _ = lm.train(docs)
-    return lm.score(docs, network, frequent)
+    return lm.score_words(docs, lm.train_words(docs))
 
 
 @query
