@@ -176,6 +176,16 @@ def test_pseudonyms_are_a_permutation(spark):
     assert pseudonymise(days, "k").distinct().count() == 3000
 
 
+def test_phones_of_any_form(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+14155552671", "4155552671", "+44 20 7946 0958", "(020) 7946 0958", "1-415-555-2671"]
+    table = spark.createDataFrame([(i, f"tel {p}, x") for i, p in enumerate(phones)], "doc_id long, text string")
+    for r in pseudonymise(table, "key", counts=True).collect():
+        p, new = phones[r.doc_id], r.text[4:-3]
+        assert r.n_phone == 1 and p != new and len(p) == len(new), p
+        assert [c if not c.isdigit() else "0" for c in p] == [c if not c.isdigit() else "0" for c in new]
+        assert new.startswith({"+1": "+1", "+4": "+44"}.get(p[:2], ""))
+
+
 # 5
 def test_jaccard_groups(docs, empty, awkward):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs).collect()}

@@ -20,9 +20,13 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    # +country code and 3-3-4, 3-3-4, +international in any groups, an area in brackets, ten digits
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+    r"|\+[1-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9A-Za-z])|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
+    r"|[0-9]{10}(?![0-9A-Za-z]))",
 }
 ANY = "|".join(KINDS.values())
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = DIGITS + "abcdef"
 # Dates are permuted within 1900-01-01 .. 2099-12-31.
@@ -150,7 +154,7 @@ def kind_sql(m: str) -> str:
     tests = {
         "email": "true", "token": f"{m} RLIKE '[0-9]'", "iban": f"length({compact}) <= 34 AND {iban}",
         "date": f"{date} IS NOT NULL", "ip": octets, "ssn": ssn, "card": luhn(d, "kl") + " % 10 = 0",
-        "phone": f"right({d}, 10) RLIKE '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$'",
+        "phone": "true",
     }
     cases = " ".join(f"WHEN {is_kind(m, k)} THEN IF({t}, '{k}', '')" for k, t in tests.items())
     return f"CASE {cases} ELSE '' END"
@@ -167,13 +171,12 @@ def pseudonym_sql(m: str, kind: str, key: str) -> str:
     ssn_ok = lambda x: f"{x} RLIKE '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$'"
     ssn_step = lambda x: feistel(x, key + "ssn", tag="s")
     ssn = _let(walked(ssn_step(d), ssn_step, ssn_ok, "s"), "ns", placed(m, "ns", "[0-9]", "sp"))
-    # a phone number keeps its country code; the national number stays a valid one
-    phone_ok = lambda x: f"{x} RLIKE '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$'"
-    phone_step = lambda x: feistel(x, key + "phone", tag="p")
-    national = walked(phone_step(f"right({d}, 10)"), phone_step, phone_ok, "p")
+    # a phone number keeps its country code; without a + that is what precedes the last ten digits
+    code = f"IF({m} LIKE '+%', length(regexp_extract({d}, {quoted(COUNTRY)}, 0)), greatest(length({d}) - 10, 0))"
     phone = _let(
-        f"concat(substring({d}, 1, length({d}) - 10), {national})", "np", placed(m, "np", "[0-9]", "pp")
-    )
+        f"concat(substring({d}, 1, {code}), {feistel(f'substring({d}, {code} + 1)', key + 'phone', tag='p')})",
+        "np", placed(m, "np", "[0-9]", "pp"),
+    )
     compact = f"replace({m}, ' ', '')"
     iban = _let(
         feistel(f"substring({compact}, 5)", key + "iban", tag="i"), "ni",
