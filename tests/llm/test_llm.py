@@ -186,6 +186,22 @@ def test_phones_of_any_form(spark):
         assert new.startswith({"+1": "+1", "+4": "+44"}.get(p[:2], ""))
 
 
+def test_values_within_failing_candidates(spark):
+    cases = [
+        ("call 212-555-0123 212-555-0199", {"phone": 2}, "call "),
+        ("order 12 4111 1111 1111 1111", {"card": 1}, "order 12 "),
+        ("ref 2024 4539 1488 0343 6467", {"card": 1}, "ref 2024 "),
+        ("tel 743-555-3824 4539 1488 0343 6467", {"phone": 1, "card": 1}, "tel "),
+        ("BE68 5390 0754 7034 CALL", {"iban": 1}, "BE"),
+        ("4111 1111 1111 1112 99/99/2000", {}, "4111 1111 1111 1112 99/99/2000"),
+    ]
+    table = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pseudonymise(table, "key", counts=True).collect():
+        text, kinds, head = cases[r.doc_id]
+        assert {k: r[f"n_{k}"] for k in KINDS if r[f"n_{k}"]} == kinds, text
+        assert r.text.startswith(head) and len(r.text) == len(text) and (r.text != text) == bool(kinds)
+
+
 # 5
 def test_jaccard_groups(docs, empty, awkward):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs).collect()}

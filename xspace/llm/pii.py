@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 8
-# Patterns of the kinds, tried in this order at each place of a text.
+# Patterns of the kinds.
 # Runs are possessive and start at their first character, so no text is quadratic.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -25,7 +25,14 @@ KINDS = {
     r"|\+[1-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9A-Za-z])|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
     r"|[0-9]{10}(?![0-9A-Za-z]))",
 }
-ANY = "|".join(KINDS.values())
+# Each kind is looked for in the text that valid values of the kinds before it have left.
+ORDER = ("email", "token", "iban", "date", "ip", "ssn", "phone", "card")
+# Kinds of several groups are found as whole runs of groups, and tried within them.
+RUNS = {
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+",
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,}+(?![A-Za-z])",
+}
+GROUPS = {"iban": ("[A-Z0-9]+ ?", 12), "card": ("[0-9]+[ -]?", 19)}  # a group; most groups of a value
 COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = DIGITS + "abcdef"
@@ -144,20 +151,63 @@ def _date_parts(m: str) -> dict[str, str]:
     }
 
 
-def kind_sql(m: str) -> str:
-    """Kind of a match, or '' if it does not hold what its form promises."""
+def kind_tests(m: str) -> dict[str, str]:
+    """Per kind, whether a match of its pattern holds what its form promises."""
     d, compact = _digits(m), f"replace({m}, ' ', '')"
     date = f"coalesce({', '.join(_date_parts(m).values())})"
     octets = f"forall(split({m}, '[.]'), o -> CAST(o AS int) <= 255 AND (length(o) = 1 OR NOT startswith(o, '0')))"
     ssn = f"{d} RLIKE '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$'"
     iban = mod97(f"concat(substring({compact}, 5), substring({compact}, 1, 4))", "im") + " = 1"
-    tests = {
-        "email": "true", "token": f"{m} RLIKE '[0-9]'", "iban": f"length({compact}) <= 34 AND {iban}",
-        "date": f"{date} IS NOT NULL", "ip": octets, "ssn": ssn, "card": luhn(d, "kl") + " % 10 = 0",
-        "phone": "true",
+    return {
+        "email": "true", "token": f"{m} RLIKE '[0-9]'", "iban": f"{is_kind(m, 'iban')} AND length({compact}) <= 34 AND {iban}",
+        "date": f"{date} IS NOT NULL", "ip": octets, "ssn": ssn,
+        "card": f"length({d}) BETWEEN 13 AND 19 AND {luhn(d, 'kl')} % 10 = 0", "phone": "true",
     }
-    cases = " ".join(f"WHEN {is_kind(m, k)} THEN IF({t}, '{k}', '')" for k, t in tests.items())
-    return f"CASE {cases} ELSE '' END"
+
+
+def _piece(text: str, kind: str = "''") -> str:
+    return f"named_struct('t', {text}, 'k', {kind})"
+
+
+def _pieces_of_run(m: str, kind: str) -> str:
+    """A run of groups cut into valid values and the rest: leftmost first, longest first, at group borders."""
+    group, most = GROUPS[kind]
+    joined = lambda a, n: f"array_join(slice(rg, {a} + 1, {n}), '')"
+    value = lambda j: f"regexp_replace({joined('ri', f'{j} - ri + 1')}, '[ -]$', '')"
+    valid = _let(value("rj"), "rv", kind_tests("rv")[kind])
+    ends = f"filter(sequence(least(ri + {most - 1}, size(rg) - 1), ri, -1), rj -> {valid})"
+    # acc: pieces, first group not yet in a piece
+    hit = (
+        f"named_struct('out', concat(ra.out, array({_piece(joined('ra.at', 'ri - ra.at'))}, {_piece('rx', quoted(kind))},"
+        f" {_piece('substring(' + joined('ri', 're[0] - ri + 1') + ', length(rx) + 1)')})), 'at', re[0] + 1)"
+    )
+    tried = _let(ends, "re", f"IF(size(re) = 0, ra, {_let(value('re[0]'), 'rx', hit)})")
+    start = "named_struct('out', CAST(array() AS array<struct<t:string,k:string>>), 'at', 0)"
+    body = (
+        f"aggregate(sequence(0, size(rg) - 1), {start}, (ra, ri) -> IF(ri < ra.at, ra, {tried}),"
+        f" ra -> concat(ra.out, array({_piece(joined('ra.at', 'size(rg) - ra.at'))})))"
+    )
+    return _let(f"regexp_extract_all({m}, {quoted(group)}, 0)", "rg", body)
+
+
+def cut_sql(t: str, kind: str) -> str:
+    """Pieces (t, k) of a text: valid values of a kind, and the text between them."""
+    pattern = quoted(RUNS.get(kind, KINDS[kind]))
+    one = _pieces_of_run("cm", kind) if kind in RUNS else f"array({_piece('cm', f'IF({kind_tests(chr(99) + chr(109))[kind]}, {quoted(kind)}, {quoted(str())})')})"
+    tried = f"transform(cf, cm -> {one})"
+    both = (
+        f"flatten(zip_with(split({t}, {pattern}, -1), cp, (cg, cq) ->"
+        f" concat(array({_piece('cg')}), coalesce(cq, CAST(array() AS array<struct<t:string,k:string>>)))))"
+    )
+    # text around a failing candidate stays one piece
+    whole = (
+        f"aggregate({both}, CAST(array() AS array<struct<t:string,k:string>>), (ca, cx) ->"
+        f" IF(cx.k = '' AND size(ca) > 0 AND element_at(ca, -1).k = '',"
+        f" concat(slice(ca, 1, size(ca) - 1), array({_piece('concat(element_at(ca, -1).t, cx.t)')})), concat(ca, array(cx))))"
+    )
+    plain = f"array({_piece(t)})"
+    checked = _let(tried, "cp", f"IF(exists(cp, cq -> exists(cq, cx -> cx.k <> '')), {whole}, {plain})")
+    return _let(f"regexp_extract_all({t}, {pattern}, 0)", "cf", f"IF(size(cf) = 0, {plain}, {checked})")
 
 
 def pseudonym_sql(m: str, kind: str, key: str) -> str:
@@ -219,19 +269,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     security, card and phone numbers are replaced if valid; everything else of a text
     stays as it is, and so do null and empty texts, other columns and the row count.
     With ``counts`` a column ``n_<kind>`` per kind follows. A date is read day first
-    where both readings are calendar days.
+    where both readings are calendar days. Phone numbers are all that have the form of
+    one, whatever their digits: 3-3-4 groups, ten digits in a row, an area in brackets,
+    and a + with 7 to 15 digits in any groups; their country code stays. A kind is looked
+    for in what valid values of the kinds before it left, and cards and IBANs at all
+    group borders of longer runs.
     """
     text = f"`{text_col}`"
-    pick = f"regexp_extract_all({text}, {quoted(ANY)}, 0)"
-    has = f"{text} RLIKE '[0-9@]'"
-    held = docs.withColumn("_found", F.expr(f"CASE WHEN {has} THEN {pick} ELSE CAST(array() AS array<string>) END"))
-    known = held.withColumn("_known", F.expr(f"transform(_found, km -> named_struct('m', km, 'k', {kind_sql('km')}))"))
-    between = f"split({text}, {quoted(ANY)}, -1)"
-    joined = (
-        f"array_join(zip_with({between}, _known, (gap, pm) -> concat(gap, CASE WHEN pm IS NULL THEN '' ELSE"
-        f" {pseudonym_sql('pm.m', 'pm.k', key)} END)), '')"
-    )
-    out = {text_col: F.expr(f"CASE WHEN size(_found) > 0 THEN {joined} ELSE {text} END")}
+    none = "CAST(array() AS array<struct<t:string,k:string>>)"
+    known = docs.withColumn("_known", F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN array({_piece(text)}) ELSE {none} END"))
+    for kind in ORDER:
+        cut = f"flatten(transform(_known, kx -> IF(kx.k = '', {cut_sql('kx.t', kind)}, array(kx))))"
+        known = known.withColumn("_known", F.expr(cut))
+    joined = f"array_join(transform(_known, pm -> {pseudonym_sql('pm.t', 'pm.k', key)}), '')"
+    out = {text_col: F.expr(f"CASE WHEN size(_known) > 1 THEN {joined} ELSE {text} END")}
     tally = {
         f"n_{k}": F.expr(f"CAST(coalesce(size(filter(_known, kx -> kx.k = '{k}')), 0) AS bigint)") for k in KINDS
     }
