@@ -115,6 +115,19 @@ def test_quality_outliers(spark, empty, awkward):
     assert not any(r.kept for r in quality.quality_rules(awkward).collect())
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(340):
+        t = ". ".join(sentence(rng, 12) for _ in range(rng.randint(4, 30)))
+        junk = i % 10 == 0
+        rows.append((i, " ".join(w + "$$$" for w in t.split()) if junk else t, "en" if i < 300 else None, "s" if i % 4 else "t"))
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for table in (few, few.where("doc_id >= 240")):  # also fewer than 200 texts in all
+        got = quality.quality_rules(table).collect()
+        assert all(r.kept == (r.doc_id % 10 != 0) and r.distance2 is not None for r in got)
+
+
 def test_mcd_ignores_outliers(spark):
     rng = np.random.default_rng(0)
     clean = rng.normal([1.0, -2.0], [0.5, 0.2], (800, 2))

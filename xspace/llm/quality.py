@@ -127,17 +127,10 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
-    """Add ``_g``: (lang, source), or the pooled small sources of a language, or the rest."""
-    keys = [F.coalesce(F.to_json(F.struct(F.lit(level).alias("n"), *cols)), F.lit("")) for level, cols in
-            ((2, ["lang", "source"]), (1, ["lang"]), (0, []))]
-    out = rows.withColumn("_g", keys[0])
-    for wider in keys[1:]:
-        sizes = settle(out.where("_use").groupBy("_g").count())
-        out = out.join(sizes.withColumnRenamed("count", "_n"), "_g", "left").withColumn(
-            "_g", F.when(F.coalesce("_n", F.lit(0)) >= min_group, F.col("_g")).otherwise(wider)
-        ).drop("_n")
-    return out
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Add ``_g``: (lang, source), ``_g1``: its language, and ``_g0``: the whole table."""
+    key = lambda level, *cols: F.coalesce(F.to_json(F.struct(F.lit(level).alias("n"), *cols)), F.lit(""))
+    return rows.select("*", key(2, "lang", "source").alias("_g"), key(1, "lang").alias("_g1"), key(0).alias("_g0"))
 
 
 def _from_histogram(hist: DataFrame, keys, value: str, shares) -> DataFrame:
@@ -243,6 +236,39 @@ def mcd(rows: DataFrame, floors, share: float = 0.75, steps: int = 4) -> DataFra
     return roots
 
 
+def _spread(roots: DataFrame, dims: int) -> DataFrame:
+    """Centre and covariance of each group from its Cholesky factor."""
+    cov = lambda i, j: reduce(lambda a, k: a + F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j + 1), F.lit(0.0))
+    return roots.select(
+        "_g", *[f"m{j}" for j in range(dims)], *[cov(i, j).alias(f"s{i}_{j}") for i in range(dims) for j in range(i + 1)]
+    )
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, dims: int, constant: float) -> DataFrame:
+    """Moments of the mixture of each group (weight n / (n + constant)) and of its wider one ``_up``."""
+    w = F.col("n") / (F.col("n") + constant)
+    up = wider.select(F.col("_g").alias("_up"), *[F.col(c).alias(f"u{c}") for c in wider.columns if c[0] in "ms"])
+    mixed = lambda c: w * F.col(c) + (1 - w) * F.col(f"u{c}")
+    off = lambda j: F.col(f"m{j}") - F.col(f"um{j}")
+    return own.join(F.broadcast(settle(up)), "_up").select(
+        "_g",
+        *[mixed(f"m{j}").alias(f"m{j}") for j in range(dims)],
+        *[(mixed(f"s{i}_{j}") + w * (1 - w) * off(i) * off(j)).alias(f"s{i}_{j}") for i in range(dims) for j in range(i + 1)],
+    )
+
+
+def estimates(used: DataFrame, floors, share: float, steps: int, constant: float) -> DataFrame:
+    """Per (language, source) of rows (_g, _g1, _g0, x) the MCD, shrunk to its language's and the table's."""
+    dims = len(floors)
+    groups = settle(used.groupBy("_g", "_g1", "_g0").agg(F.count(F.lit(1)).alias("n")))
+    each = used.select(F.explode(F.array("_g", "_g1", "_g0")).alias("_g"), "x")
+    found = settle(_spread(mcd(each, floors, share, steps), dims))
+    languages = groups.groupBy(F.col("_g1").alias("_g"), F.col("_g0").alias("_up")).agg(F.sum("n").alias("n"))
+    by_language = settle(_shrunk(found.join(languages, "_g"), found, dims, constant))
+    sources = groups.select("_g", F.col("_g1").alias("_up"), "n")
+    return _rooted(_shrunk(found.join(sources, "_g"), by_language, dims, constant), dims)
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -250,7 +276,7 @@ def quality_rules(
     cutoff: float = 0.9999,
     share: float = 0.75,
     steps: int = 4,
-    min_group: int = 200,
+    shrink: float = 200,
 ) -> DataFrame:
     """Counts and verdict for every row of ``docs`` (with columns lang and source).
 
@@ -258,9 +284,9 @@ def quality_rules(
     distance2, log_det). A text fails the base rules with fewer than 20 words or more
     than 30 % of words in repeated windows of eight; other texts are kept if their
     squared Mahalanobis distance is at most the chi-squared quantile ``cutoff``.
-    Estimates use the texts that pass the base rules. Sources with fewer than
-    ``min_group`` of them are pooled per language, and small languages with each
-    other; if even the pool is smaller, its texts are judged by the base rules alone.
+    Estimates use the texts that pass the base rules. The estimate of a source of n of
+    them counts n / (n + ``shrink``), the rest is its language's, itself shrunk so to
+    that of the whole table: every text is judged, and nothing flips at a count.
     Null text has no words and fails; null language and source are groups of their
     own; repeated rows are judged each for itself; an empty table gives no rows.
     """
@@ -275,10 +301,8 @@ def quality_rules(
     grid = F.array(*[F.expr(f"CAST(round({GRID} * {sql}) AS bigint)") for _, sql, _ in STATISTICS])
     usable = ~base_failed()
     rows = counts.withColumn("_use", usable).withColumn("x", F.when(usable, grid))
-    rows = settle(_grouped(rows, min_group))
-    sizes = rows.where("_use").groupBy("_g").count().where(F.col("count") >= min_group)
-    used = settle(rows.where("_use").join(sizes, "_g", "left_semi").select("_g", "x"))
-    roots = mcd(used, floors, share, steps)
+    rows = settle(_grouped(rows))
+    roots = estimates(rows.where("_use").select("_g", "_g1", "_g0", "x"), floors, share, steps, shrink)
     judged = _distance(rows.select("_id", *names, "_use", "_g", "x"), roots, dims)
     limit = chi2_quantile(cutoff, dims)
     return judged.select(
