@@ -9,11 +9,12 @@ Mahalanobis distance are rejected.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import settle, words_of
+from ..functions import session
+from ..operators.lookup import lookup
+from .common import JOIN_BYTES, settle, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -127,146 +128,186 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Add ``_g``: (lang, source), ``_g1``: its language, and ``_g0``: the whole table."""
+# A text's vector is kept as its monomials 1, x_i, x_i * x_j (j <= i), in grid units: their
+# sums are a group's moments, and a squared distance is their product with one coefficient
+# row. Matrices are arrays, row after row. A level is 2 for (language, source), 1 for the
+# language, 0 for the whole table.
+LEVELS = {2: "_g", 1: "_g1", 0: "_g0"}
+
+
+def _keys() -> list[Column]:
+    """``_g``: (lang, source), ``_g1``: its language, ``_g0``: the whole table."""
     key = lambda level, *cols: F.coalesce(F.to_json(F.struct(F.lit(level).alias("n"), *cols)), F.lit(""))
-    return rows.select("*", key(2, "lang", "source").alias("_g"), key(1, "lang").alias("_g1"), key(0).alias("_g0"))
+    return [key(2, "lang", "source").alias("_g"), key(1, "lang").alias("_g1"), key(0).alias("_g0")]
+
+
+def monomials(x: list[Column]) -> Column:
+    one = F.lit(1).cast("long")
+    return F.array(one, *x, *[x[i] * x[j] for i in range(len(x)) for j in range(i + 1)])
+
+
+def _matrix(dims: int, cell: str) -> str:
+    """Array of ``cell`` (SQL over row i and column j) for every i and j."""
+    return f"flatten(transform(sequence(0, {dims - 1}), i -> transform(sequence(0, {dims - 1}), j -> {cell})))"
+
+
+def _moments(sums: str, dims: int, floors, factor: float) -> dict[str, str]:
+    """Centre ``m`` and covariance ``s`` from the summed monomials."""
+    n, t = f"{sums}[0]", lambda i: f"{sums}[1 + {i}]"
+    p = f"{sums}[{1 + dims} + CAST(greatest(i, j) * (greatest(i, j) + 1) / 2 AS int) + least(i, j)]"
+    floor = f"IF(i = j, pow(array({', '.join(f'{f}D' for f in floors)})[i], 2), 0D)"
+    cov = f"{factor!r}D * ({p} - {t('i')} * {t('j')} / {n}) / {n} / {GRID**2}D + {floor}"
+    return {"m": f"transform(sequence(0, {dims - 1}), i -> {t('i')} / {n} / {GRID}D)", "s": _matrix(dims, cov)}
+
 
+def with_coefficients(estimate: DataFrame, dims: int) -> DataFrame:
+    """Add ``coef`` (of the squared distance, per monomial) and ``log_det`` to rows of m and s.
 
-def _from_histogram(hist: DataFrame, keys, value: str, shares) -> DataFrame:
-    """Per key the smallest value that reaches each share of the counted rows."""
-    by_key = Window.partitionBy(*keys)
-    run = hist.select(
-        *keys,
-        value,
-        F.sum("n").over(by_key.orderBy(value)).alias("below"),
-        F.sum("n").over(by_key).alias("all"),
+    The inverse is made in place by one Gauss-Jordan step per row; its pivots give the
+    determinant.
+    """
+    at = lambda i, j: f"st.a[{i} * {dims} + {j}]"
+    cell = (
+        f"CASE WHEN i = k AND j = k THEN 1 / {at('k', 'k')} WHEN i = k THEN {at('k', 'j')} / {at('k', 'k')}"
+        f" WHEN j = k THEN -{at('i', 'k')} / {at('k', 'k')}"
+        f" ELSE {at('i', 'j')} - {at('i', 'k')} * {at('k', 'j')} / {at('k', 'k')} END"
     )
-    return run.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("below") >= s * F.col("all"), F.col(value))).alias(a) for a, s in shares.items()]
+    swept = (
+        f"aggregate(sequence(0, {dims - 1}), named_struct('a', s, 'l', 0D), (st, k) ->"
+        f" named_struct('a', {_matrix(dims, cell)}, 'l', st.l + ln({at('k', 'k')})))"
     )
+    pull = f"aggregate(sequence(0, {dims - 1}), 0D, (z, j) -> z + inv.a[i * {dims} + j] * m[j])"
+    squares = f"flatten(transform(sequence(0, {dims - 1}), i -> transform(sequence(0, i), j -> IF(i = j, 1D, 2D) * inv.a[i * {dims} + j] / {GRID**2}D)))"
+    pulled = estimate.withColumn("inv", F.expr(swept)).withColumn("pull", F.expr(f"transform(sequence(0, {dims - 1}), i -> {pull})"))
+    constant = f"array(aggregate(sequence(0, {dims - 1}), 0D, (z, i) -> z + pull[i] * m[i]))"
+    coef = f"concat({constant}, transform(pull, v -> -2D / {GRID}D * v), {squares})"
+    return pulled.withColumn("coef", F.expr(coef)).withColumn("log_det", F.col("inv.l")).drop("inv", "pull")
+
+
+def distance2(coef: str, mono: str = "mono") -> Column:
+    """Squared Mahalanobis distance: the product of coefficients and monomials."""
+    product = f"aggregate(zip_with({coef}, {mono}, (c, v) -> c * v), 0D, (z, v) -> z + v)"
+    return F.expr(f"IF({coef} IS NULL OR {mono} IS NULL, NULL, greatest(0D, {product}))")
+
+
+def _near(rows: DataFrame, side: DataFrame, on: str, few: bool) -> DataFrame:
+    """Join rows to one row per group: shipped if their counted number is small, else with
+    frequent groups spread over salts."""
+    return rows.join(F.broadcast(side), on, "left") if few else lookup(rows, side, on, "left")
+
+
+def _of_level(table: DataFrame, level: int, *columns: Column) -> DataFrame:
+    return table.where(F.col("level") == level).select(F.col("key").alias(LEVELS[level]), *columns)
+
+
+def _each_level(cells: DataFrame) -> DataFrame:
+    """Rows of (_g, _g1, _g0) counted for each of the three: (level, key, ...)."""
+    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.col(c).alias("key")) for k, c in LEVELS.items()])
+    return cells.withColumn("_k", F.explode(keys)).select("_k.level", "_k.key", *[c for c in cells.columns if c not in LEVELS.values()])
 
 
 def _start(rows: DataFrame, dims: int, floors) -> DataFrame:
-    """Per group the medians and the squared quartile spreads: a diagonal first estimate."""
-    long = rows.select("_g", F.posexplode("x").alias("j", "v"))
-    hist = long.groupBy("_g", "j", "v").agg(F.count(F.lit(1)).alias("n"))
-    q = _from_histogram(hist, ["_g", "j"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    wide = q.groupBy("_g").pivot("j", list(range(dims))).agg(
-        F.first("q2").alias("m"), F.first((F.col("q3") - F.col("q1")) / 1.349).alias("s")
-    )
-    cells = {f"s{i}_{j}": F.lit(0.0) for i in range(dims) for j in range(i)}
-    cells |= {f"s{j}_{j}": F.pow(F.col(f"{j}_s") / GRID, 2) + floors[j] ** 2 for j in range(dims)}
-    return wide.select(
-        "_g", *[(F.col(f"{j}_m") / GRID).alias(f"m{j}") for j in range(dims)], *[c.alias(k) for k, c in cells.items()]
+    """Per level and group the medians and the squared quartile spreads: a diagonal first estimate."""
+    each = rows.select(*LEVELS.values(), F.posexplode(F.slice("mono", 2, dims)).alias("j", "v"))
+    hist = each.groupBy(*LEVELS.values(), "j", "v").agg(F.count(F.lit(1)).alias("n"))
+    hist = _each_level(hist).groupBy("level", "key", "j", "v").agg(F.sum("n").alias("n"))
+    by_key = Window.partitionBy("level", "key", "j")
+    run = hist.withColumn("below", F.sum("n").over(by_key.orderBy("v"))).withColumn("all", F.sum("n").over(by_key))
+    quartile = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("v")))
+    q = run.groupBy("level", "key", "j").agg(
+        F.max("all").alias("n"), quartile(0.5).alias("q2"), ((quartile(0.75) - quartile(0.25)) / 1.349).alias("w")
     )
+    rows_ = q.groupBy("level", "key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("j", "q2", "w"))).alias("q"))
+    floor = f"pow(array({', '.join(f'{f}D' for f in floors)})[i], 2)"
+    return rows_.select(
+        "level", "key", "n",
+        F.expr(f"transform(q, c -> c.q2 / {GRID}D)").alias("m"),
+        F.expr(_matrix(dims, f"IF(i = j, pow(q[i].w / {GRID}D, 2) + {floor}, 0D)")).alias("s"),
+    )
 
 
-def _moments(rows: DataFrame, dims: int, floors, factor: float) -> DataFrame:
-    """Mean and covariance per group from exact sums of grid values."""
-    n = F.count(F.lit(1)).cast("double")
-    wide = lambda c: c.cast("decimal(20,0)")
-    sums = rows.groupBy("_g").agg(
-        n.alias("n"),
-        *[F.sum(wide(F.col("x")[j])).cast("double").alias(f"t{j}") for j in range(dims)],
-        *[
-            F.sum(wide(F.col("x")[i] * F.col("x")[j])).cast("double").alias(f"p{i}_{j}")
-            for i in range(dims)
-            for j in range(i + 1)
-        ],
-    )
-    cov = lambda i, j: (F.col(f"p{i}_{j}") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("n")) / F.col("n")
-    return sums.select(
+def mcd(rows: DataFrame, floors, share: float = 0.75, steps: int = 4) -> DataFrame:
+    """Per group ``_g`` of rows (_g, x: grid vector) the MCD centre m{j}, Cholesky factor l{i}_{j} and log_det."""
+    dims = len(floors)
+    keyed = rows.select("_g", F.lit("").alias("_g1"), F.lit("").alias("_g0"), monomials([F.col("x")[j] for j in range(dims)]).alias("mono"))
+    found = _of_level(mcd_levels(keyed, floors, share, steps, few=False), 2, F.col("m"), F.col("s"), F.col("log_det"))
+    i, j = f"CAST(q DIV {dims} AS int)", f"CAST(q % {dims} AS int)"
+    rest = f"(s[q] - aggregate(zip_with(slice(l, {i} * {dims} + 1, {j}), slice(l, {j} * {dims} + 1, {j}), (a, b) -> a * b), 0D, (z, v) -> z + v))"
+    cell = f"CASE WHEN {j} > {i} THEN 0D WHEN {i} = {j} THEN sqrt({rest}) ELSE {rest} / l[{j} * {dims} + {j}] END"
+    factor = f"aggregate(sequence(0, {dims * dims - 1}), CAST(array() AS array<double>), (l, q) -> concat(l, array({cell})))"
+    return found.withColumn("l", F.expr(factor)).select(
         "_g",
-        *[(F.col(f"t{j}") / F.col("n") / GRID).alias(f"m{j}") for j in range(dims)],
-        *[
-            (factor * cov(i, j) / GRID**2 + (floors[i] ** 2 if i == j else 0.0)).alias(f"s{i}_{j}")
-            for i in range(dims)
-            for j in range(i + 1)
-        ],
+        *[F.col("m")[k].alias(f"m{k}") for k in range(dims)],
+        *[F.col("l")[a * dims + b].alias(f"l{a}_{b}") for a in range(dims) for b in range(a + 1)],
+        "log_det",
     )
 
 
-def _rooted(estimate: DataFrame, dims: int) -> DataFrame:
-    """Cholesky factor of each group's covariance, as columns l{i}_{j}, and ln of its determinant."""
-    for j in range(dims):
-        known = lambda i: reduce(
-            lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), F.col(f"s{i}_{j}")  # noqa: B023
-        )
-        estimate = estimate.withColumn(f"l{j}_{j}", F.sqrt(known(j)))
-        for i in range(j + 1, dims):
-            estimate = estimate.withColumn(f"l{i}_{j}", known(i) / F.col(f"l{j}_{j}"))
-    log_det = reduce(lambda a, j: a + 2 * F.ln(f"l{j}_{j}"), range(dims), F.lit(0.0))
-    names = [f"m{j}" for j in range(dims)] + [f"l{i}_{j}" for i in range(dims) for j in range(i + 1)]
-    return settle(estimate.select("_g", *names, log_det.alias("log_det")))
-
-
-def _distance(rows: DataFrame, roots: DataFrame, dims: int) -> DataFrame:
-    """Add ``d2``: squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(roots, "_g", "left")
-    for i in range(dims):
-        rest = reduce(
-            lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"z{k}"), range(i), F.col("x")[i] / GRID - F.col(f"m{i}")
-        )
-        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}_{i}"))
-    d2 = reduce(lambda a, i: a + F.col(f"z{i}") * F.col(f"z{i}"), range(dims), F.lit(0.0))
-    return out.select(*rows.columns, *[c for c in roots.columns if c == "log_det"], d2.alias("d2"))
+def mcd_levels(rows: DataFrame, floors, share: float, steps: int, few: bool) -> DataFrame:
+    """(level, key, n, m, s, coef, log_det): the MCD estimate of every group of every level.
 
-
-def mcd(rows: DataFrame, floors, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Per group ``_g`` of rows (_g, x: grid vector) the MCD centre and Cholesky factor.
-
-    Concentration steps from a robust start: take the ``share`` of rows nearest by the
-    present estimate, estimate again from them alone. Each step lowers the
-    determinant. The cut is made on a histogram of distances in fixed logarithmic
-    bins, so that the subset depends on the rows alone; a group's rows never meet in
-    one task.
+    ``rows``: the keys of ``LEVELS`` and mono. Concentration steps from a robust start:
+    take the ``share`` of a group's rows nearest by its present estimate, estimate again
+    from them alone. A step is one pass: rows are added up by (language, source) and bin
+    of distance (fixed logarithmic bins), and the bins that make the share are chosen
+    and added up from there, for languages and the table too. So the subset depends on
+    the rows alone, no group is a key that raw rows are sent by, and a group's rows
+    never meet in one task. The cut falls between bins: a group's subset holds at least
+    the share.
     """
     dims = len(floors)
     inside = chi2_quantile(share, dims)
     factor = share / chi2_cdf(inside, dims + 2)
-    roots = _rooted(_start(rows, dims, floors), dims)
-    far = F.floor(F.log2(1 + F.col("d2")) * STEPS_PER_DOUBLING)
+    found = settle(with_coefficients(_start(rows, dims, floors), dims))
+    many = 1 + dims + dims * (dims + 1) // 2
+    sums = [f"s{k}" for k in range(many)]
     for _ in range(steps):
-        placed = _distance(rows, roots, dims).select("_g", "x", far.alias("bin"))
-        hist = placed.groupBy("_g", "bin").agg(F.count(F.lit(1)).alias("n"))
-        cut = settle(_from_histogram(hist, ["_g"], "bin", {"cut": share}))
-        near = placed.join(cut, "_g").where("bin <= cut")
-        roots = _rooted(_moments(near, dims, floors, factor), dims)
-    return roots
-
-
-def _spread(roots: DataFrame, dims: int) -> DataFrame:
-    """Centre and covariance of each group from its Cholesky factor."""
-    cov = lambda i, j: reduce(lambda a, k: a + F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j + 1), F.lit(0.0))
-    return roots.select(
-        "_g", *[f"m{j}" for j in range(dims)], *[cov(i, j).alias(f"s{i}_{j}") for i in range(dims) for j in range(i + 1)]
-    )
+        placed = rows
+        for level, key in LEVELS.items():
+            placed = _near(placed, _of_level(found, level, F.col("coef").alias(f"coef{level}")), key, few)
+        far = lambda level: F.floor(F.log2(1 + distance2(f"coef{level}")) * STEPS_PER_DOUBLING).cast("int")
+        bins = F.array(*[F.struct(F.lit(k).alias("level"), far(k).alias("bin")) for k in LEVELS])
+        binned = placed.select(*LEVELS.values(), "mono", F.explode(bins).alias("b")).select(*LEVELS.values(), "mono", "b.*")
+        cells = binned.groupBy(*LEVELS.values(), "level", "bin").agg(*[F.sum(F.col("mono")[k]).alias(c) for k, c in enumerate(sums)])
+        key = F.when(F.col("level") == 2, F.col("_g")).when(F.col("level") == 1, F.col("_g1")).otherwise(F.col("_g0"))
+        cells = cells.groupBy("level", key.alias("key"), "bin").agg(*[F.sum(c).cast("double").alias(c) for c in sums])
+        by_key = Window.partitionBy("level", "key")
+        before = F.coalesce(F.sum("s0").over(by_key.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        chosen = cells.withColumn("_before", before).withColumn("_all", F.sum("s0").over(by_key)).where(F.col("_before") < share * F.col("_all"))
+        added = chosen.groupBy("level", "key").agg(F.max("_all").cast("long").alias("n"), F.array(*[F.sum(c) for c in sums]).alias("_s"))
+        moments = added.select("level", "key", "n", *[F.expr(sql).alias(c) for c, sql in _moments("_s", dims, floors, factor).items()])
+        found = settle(with_coefficients(moments, dims))
+    return found
 
 
 def _shrunk(own: DataFrame, wider: DataFrame, dims: int, constant: float) -> DataFrame:
-    """Moments of the mixture of each group (weight n / (n + constant)) and of its wider one ``_up``."""
-    w = F.col("n") / (F.col("n") + constant)
-    up = wider.select(F.col("_g").alias("_up"), *[F.col(c).alias(f"u{c}") for c in wider.columns if c[0] in "ms"])
-    mixed = lambda c: w * F.col(c) + (1 - w) * F.col(f"u{c}")
-    off = lambda j: F.col(f"m{j}") - F.col(f"um{j}")
-    return own.join(F.broadcast(settle(up)), "_up").select(
-        "_g",
-        *[mixed(f"m{j}").alias(f"m{j}") for j in range(dims)],
-        *[(mixed(f"s{i}_{j}") + w * (1 - w) * off(i) * off(j)).alias(f"s{i}_{j}") for i in range(dims) for j in range(i + 1)],
-    )
+    """Moments of the mixture of each group (weight n / (n + constant)) and of its wider one ``up``."""
+    w = f"(n / (n + {float(constant)!r}D))"
+    up = wider.select(F.col("key").alias("up"), F.col("m").alias("um"), F.col("s").alias("us"))
+    mixed = f"{w} * s[i * {dims} + j] + (1 - {w}) * us[i * {dims} + j] + {w} * (1 - {w}) * (m[i] - um[i]) * (m[j] - um[j])"
+    return own.join(up, "up").select(
+        "key", "n",
+        F.expr(f"zip_with(m, um, (a, b) -> {w} * a + (1 - {w}) * b)").alias("m"), F.expr(_matrix(dims, mixed)).alias("s"),
+    )
+
+
+def estimates(rows: DataFrame, floors, share: float, steps: int, constant: float) -> DataFrame:
+    """(_g, coef, log_det) per (language, source) of rows (_g, _g1, _g0, mono): the MCD, shrunk
+    to its language's, itself shrunk to the table's."""
+    dims = len(floors)
+    groups = settle(rows.select(*LEVELS.values()).distinct())
+    found = mcd_levels(rows, floors, share, steps, is_few(groups))
+    level = lambda k: found.where(F.col("level") == k).select("key", "n", "m", "s")
+    ways = groups.select(F.col("_g").alias("key"), F.col("_g1").alias("up"))
+    to_table = groups.select(F.col("_g1").alias("key"), F.col("_g0").alias("up")).distinct()
+    by_language = _shrunk(level(1).join(to_table, "key"), level(0), dims, constant)
+    by_source = _shrunk(level(2).join(ways, "key"), by_language, dims, constant)
+    return settle(with_coefficients(by_source, dims).select(F.col("key").alias("_g"), "coef", "log_det"))
 
 
-def estimates(used: DataFrame, floors, share: float, steps: int, constant: float) -> DataFrame:
-    """Per (language, source) of rows (_g, _g1, _g0, x) the MCD, shrunk to its language's and the table's."""
-    dims = len(floors)
-    groups = settle(used.groupBy("_g", "_g1", "_g0").agg(F.count(F.lit(1)).alias("n")))
-    each = used.select(F.explode(F.array("_g", "_g1", "_g0")).alias("_g"), "x")
-    found = settle(_spread(mcd(each, floors, share, steps), dims))
-    languages = groups.groupBy(F.col("_g1").alias("_g"), F.col("_g0").alias("_up")).agg(F.sum("n").alias("n"))
-    by_language = settle(_shrunk(found.join(languages, "_g"), found, dims, constant))
-    sources = groups.select("_g", F.col("_g1").alias("_up"), "n")
-    return _rooted(_shrunk(found.join(sources, "_g"), by_language, dims, constant), dims)
+def is_few(groups: DataFrame) -> bool:
+    """A settled table of groups whose estimates may be shipped to every task."""
+    return groups.count() * 1024 <= min(JOIN_BYTES, session.broadcast_limit(groups.sparkSession))
 
 
 def quality_rules(
@@ -296,20 +337,27 @@ def quality_rules(
     renamed = docs.select(
         F.col(id_col).alias("_id"), F.col("lang"), F.col("source"), F.col(text_col).alias("_text")
     )
-    counts = settle(text_counts(renamed, "_text", keep=("_id", "lang", "source")))
+    counts = text_counts(renamed, "_text", keep=("_id", "lang", "source"))
     dims, floors = len(STATISTICS), [s[2] for s in STATISTICS]
-    grid = F.array(*[F.expr(f"CAST(round({GRID} * {sql}) AS bigint)") for _, sql, _ in STATISTICS])
     usable = ~base_failed()
-    rows = counts.withColumn("_use", usable).withColumn("x", F.when(usable, grid))
-    rows = settle(_grouped(rows))
-    roots = estimates(rows.where("_use").select("_g", "_g1", "_g0", "x"), floors, share, steps, shrink)
-    judged = _distance(rows.select("_id", *names, "_use", "_g", "x"), roots, dims)
+    grid = F.array(*[F.expr(f"CAST(round({GRID} * {sql}) AS bigint)") for _, sql, _ in STATISTICS])
+    counted = settle(counts.select("_id", *names[:5], *_keys(), F.when(usable, grid).alias("x")))
+    rows = counted.where("x IS NOT NULL").select(*LEVELS.values(), monomials([F.col("x")[j] for j in range(dims)]).alias("mono"))
+    roots = estimates(settle(rows), floors, share, steps, shrink)
+    judged = _judged(counted, roots, dims)
     limit = chi2_quantile(cutoff, dims)
     return judged.select(
         F.col("_id").alias(id_col),
         *names[:5],
         base_failed().alias("base_failed"),
-        (F.col("_use") & (F.col("d2").isNull() | (F.col("d2") <= limit))).alias("kept"),
+        (F.col("x").isNotNull() & (F.col("d2").isNull() | (F.col("d2") <= limit))).alias("kept"),
         F.col("d2").alias("distance2"),
         "log_det",
     )
+
+
+def _judged(counted: DataFrame, roots: DataFrame, dims: int) -> DataFrame:
+    """Add ``d2`` and ``log_det``; rows without a vector have no distance."""
+    met = _near(counted, roots, "_g", is_few(roots))
+    mono = F.when(F.col("x").isNotNull(), monomials([F.col("x")[j] for j in range(dims)]))
+    return met.withColumn("mono", mono).withColumn("d2", distance2("coef"))
