@@ -27,6 +27,10 @@ REACH = 2  # words looked at on each side
 OWN_PER_ROOT = 3  # own classes per cube root of the distinct words
 PRIOR = 0.5  # added to each word's count within its class
 RATIO_STEPS = 16  # per unit of the logarithm, in the fit of the networks' shares
+LEAST_KEYS, MOST_KEYS = 1 << 18, 1 << 22  # of a task's tally: between merges, in all
+BLOCK_CONTEXTS = 32  # contexts sent and added up together
+CHUNK = 4096  # words scored by one array pass: what it touches stays in the processor's cache
+DRIVER_PARTS = 32  # gradients that the driver adds up
 
 
 class Network:
@@ -85,14 +89,57 @@ def _table(network: Network) -> np.ndarray:
 # -- word classes ------------------------------------------------------------------
 
 
+class Tally:
+    """Counts of 64-bit keys, added up over the slices of a task.
+
+    New keys wait and are merged when they are as many as the counted ones; beyond
+    ``MOST_KEYS`` counted keys the task sends what it has and starts again.
+    """
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether the tally is full."""
+        self.new.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(LEAST_KEYS, len(self.keys)):
+            self.merge()
+        return len(self.keys) > MOST_KEYS
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.new)])
+        order = np.argsort(keys, kind="stable")  # runs are sorted already
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.new, self.waiting = [], 0
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and their counts so far; the tally is empty afterwards."""
+        self.merge()
+        out = self.keys, self.counts
+        self.__init__()
+        return out
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): counts of all words, by hash, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent():
+            keys, counts = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
+
+        tally = Tally()
         for batch in batches:
             for _, words, _ in slices(t.as_py() for t in batch.column("text")):
-                values, counts = np.unique(words, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["word", "n"])
+                if tally.add(*np.unique(words.view(np.int64), return_counts=True)):
+                    yield sent()
+        yield sent()
 
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -119,32 +166,58 @@ def _neighbours(classes: np.ndarray, sizes: np.ndarray, edge: int = CLASSES, rea
     return left, right
 
 
-def _context_counts(docs: DataFrame, frequent, own: int = FREQUENT, reach: int = 1) -> DataFrame:
-    """(left, right, centre, n) over every word of every document."""
+def _settled_contexts(docs: DataFrame, frequent, own: int = FREQUENT, reach: int = 1) -> DataFrame:
+    """(reach, context, centres, ns) over every word of every document, written.
+
+    A context is the classes of the words ``reach`` places to both sides, with at most as
+    many entries as there are classes. Tasks add their cells up and send blocks of
+    contexts as bytes; a block's parts meet in one partition and are added up there.
+    """
     classes = own + HASHED
+    block = BLOCK_CONTEXTS * classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(k):
+            cells, counts = tallies[k].take()
+            blocks = cells // block
+            cuts = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1 if len(cells) else np.zeros(0, np.int64)
+            firsts = np.concatenate([[0], cuts]) if len(cells) else cuts
+            places = [c.tobytes() for c in np.split((cells % block).astype("<i4"), cuts)][: len(firsts)]
+            numbers = [c.tobytes() for c in np.split(counts.astype("<i8"), cuts)][: len(firsts)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(firsts), k, np.int32)), pa.array(blocks[firsts]), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())],
+                ["reach", "block", "places", "numbers"],
+            )
+
+        tallies = {k: Tally() for k in range(1, reach + 1)}
         for batch in batches:
             for _, words, sizes in slices(t.as_py() for t in batch.column("text")):
                 if not len(words):
                     continue
                 centre = _classes(words, frequent.value, own)
-                for k in range(1, reach + 1):
+                for k, tally in tallies.items():
                     left, right = _neighbours(centre, sizes, classes, k)
-                    cells, counts = np.unique((left * (classes + 1) + right) * classes + centre, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(cells), k, np.int32)), pa.array(cells), pa.array(counts)], ["reach", "cell", "n"])
-
-    cells = docs.mapInArrow(run, "reach int, cell long, n long").groupBy("reach", "cell").agg(F.sum("n").alias("n"))
-    context = F.floor(F.col("cell") / classes).cast("long")
-    return cells.select("reach", context.alias("context"), (F.col("cell") % classes).cast("int").alias("centre"), "n")
-
-
-def _settled_contexts(docs: DataFrame, frequent, own: int = FREQUENT, reach: int = 1) -> DataFrame:
-    """(reach, context, centres, ns), written: at most as many entries per context as classes."""
-    return settle(_context_counts(docs, frequent, own, reach).groupBy("reach", "context").agg(
-        F.collect_list("centre").alias("centres"), F.collect_list("n").alias("ns")
-    ))
+                    if tally.add(*np.unique((left * (classes + 1) + right) * classes + centre, return_counts=True)):
+                        yield sent(k)
+        for k in tallies:
+            yield sent(k)
+
+    def add_up(key, table):
+        k, own_block = (x.as_py() for x in key)
+        dense = np.zeros(block, np.int64)
+        for places, numbers in zip(table.column("places"), table.column("numbers")):
+            dense[np.frombuffer(places.as_buffer(), "<i4")] += np.frombuffer(numbers.as_buffer(), "<i8")
+        cells = np.flatnonzero(dense)
+        context, centre = own_block * BLOCK_CONTEXTS + cells // classes, cells % classes
+        cuts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1], [True]])).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (centre.astype(np.int32), dense[cells])]
+        return pa.table(
+            [pa.array(np.full(len(cuts) - 1, k, np.int32)), pa.array(context[cuts[:-1]]), *lists], ["reach", "context", "centres", "ns"]
+        )
+
+    parts = docs.mapInArrow(run, "reach int, block long, places binary, numbers binary")
+    schema = "reach int, context long, centres array<int>, ns array<long>"
+    return settle(parts.groupBy("reach", "block").applyInArrow(add_up, schema))
 
 
 # -- training ----------------------------------------------------------------------
@@ -171,15 +244,24 @@ def _summed_gradient(counts: DataFrame, network: Network) -> tuple[list[np.ndarr
                 total = [a + b for a, b in zip(total, grads)]
                 value += log
         flat = np.concatenate([g.ravel() for g in total] + [[value]])
-        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], ["g"])
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["g"])
 
-    parts = counts.mapInArrow(run, "g array<double>")
-    cells = parts.select(F.posexplode("g").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-    rows = cells.collect()  # as many as the network has parameters
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for g in batch.column(0):
+                g = np.frombuffer(g.as_buffer())
+                total = g.copy() if total is None else total + g
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+    parts, many = counts.mapInArrow(run, "g binary"), counts.rdd.getNumPartitions()
+    while many > DRIVER_PARTS:  # a tree: each level has a DRIVER_PARTS-th of the rows
+        many = -(-many // DRIVER_PARTS)
+        parts = parts.repartition(many).mapInArrow(add_up, "g binary")
+    rows = [np.frombuffer(r["g"]) for r in parts.collect()]  # at most DRIVER_PARTS, each as long as the parameters
     shared.destroy()
-    flat = np.zeros(sum(int(np.prod(s)) for s in shapes) + 1)
-    for k, v in rows:
-        flat[k] = v
+    flat = np.sum(rows, axis=0) if rows else np.zeros(sum(int(np.prod(s)) for s in shapes) + 1)
     out, at = [], 0
     for s in shapes:
         size = int(np.prod(s))
@@ -272,8 +354,8 @@ class ClassModel:
         for k, ((left_of, right_of, out_of, bias), sums) in enumerate(zip(self.parts, self.sums)):
             left, right = _neighbours(centre, sizes, edge, k + 1)
             own = np.empty(len(centre))
-            for at in range(0, len(centre), 50_000):
-                part = slice(at, at + 50_000)
+            for at in range(0, len(centre), CHUNK):
+                part = slice(at, at + CHUNK)
                 hidden = np.tanh(left_of[left[part]] + right_of[right[part]])
                 own[part] = np.einsum("ij,ij->i", hidden, out_of[centre[part]]) + bias[centre[part]]
             out.append(own - sums[left, right])
