@@ -170,3 +170,57 @@ def test_no_line_is_lost_when_files_are_split_anew(spark, tmp_path):
         for key in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
             spark.conf.unset(f"spark.sql.files.{key}")
     assert [(r["line_no"], r["value"]) for r in got] == [(i, f"line {i}") for i in range(3000)]
+
+
+def test_ranges_hold_every_line_once(spark, tmp_path, small_splits):
+    ends, pieces = [b"\n", b"\r\n", b"\r", b"\n\n", b"\n\r"], []
+    for k in range(400):
+        pieces.append((b"line %d " % k) * (k % 7) + ends[k % 5])
+    for name, raw in (("b 1#.txt", b"".join(pieces)), ("a+é.txt", b"".join(pieces[::3]) + b"no end"), ("c.txt", b""), ("_x", b"hidden")):
+        (tmp_path / name).write_bytes(raw)
+    got = text.ordered_lines(spark, str(tmp_path)).collect()
+    expected = (b"".join(pieces[::3]) + b"no end").splitlines() + b"".join(pieces).splitlines()
+    assert [r["value"].encode() for r in sorted(got, key=lambda r: r["line_no"])] == expected
+    assert sorted(r["line_no"] for r in got) == list(range(len(expected)))
+    each = text.ordered_lines(spark, str(tmp_path), per_file=True).orderBy("file", "line_no").collect()
+    assert [r["line_no"] for r in each].count(0) == 2
+    named = text.ordered_lines(spark, str(tmp_path)).select(text.dataset_name(text.F.col("file")).alias("d")).distinct()
+    assert {r["d"] for r in named.collect()} == {"a+é", "b 1#"}
+
+
+def test_compressed_files_go_through_the_text_reader(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "v.txt.gz").write_bytes(gzip.compress(b"2 2\na 1 2\nb 3 4\n"))
+    got = text.read_word2vec(spark, str(tmp_path / "v.txt.gz")).orderBy("idx").collect()
+    assert [(r["idx"], r["word"], r["vec"]) for r in got] == [(0, "a", [1, 2]), (1, "b", [3, 4])]
+
+
+def test_threshold_reads_a_prefix_of_bytes(spark, tmp_path, small_splits):
+    from xspace.sources import lines
+
+    rows = "".join(f"w{i} {i} {i + 1}\n" for i in range(3000))
+    (tmp_path / "v.txt").write_text("3000 2\n" + rows)
+    size = (tmp_path / "v.txt").stat().st_size
+    few = lines.line_ranges(spark, str(tmp_path / "v.txt"), most=101)
+    assert few[-1].end < size / 10 and few[0].first == 0
+    everything = lines.line_ranges(spark, str(tmp_path / "v.txt"))
+    assert everything[-1].end == size and few == everything[: len(few)]
+    # nothing behind the prefix is parsed, or even there
+    (tmp_path / "v.txt").write_text("3000 2\n" + rows[: size // 2] + "\nbroken line\n")
+    got = text.read_word2vec(spark, str(tmp_path / "v.txt"), threshold=100).orderBy("idx").collect()
+    assert [(r["word"], r["vec"]) for r in got] == [(f"w{i}", [i, i + 1]) for i in range(100)]
+
+
+def test_vocabulary_is_joined_before_numbers_are_parsed(spark, tmp_path):
+    rows = [f"w{i} {i} {i + 1}" for i in range(200)]
+    rows[50] = "w50 not numbers"
+    (tmp_path / "v.txt").write_text("200 2\n" + "\n".join(rows) + "\n")
+    words = spark.createDataFrame([("w7",), ("w120",), ("w199",), ("zzz",), ("w7",)], "word string")
+    emb = text.read_word2vec(spark, str(tmp_path / "v.txt"), vocabulary=words)
+    assert [(r["idx"], r["word"], r["vec"]) for r in emb.orderBy("idx").collect()] == [
+        (0, "w7", [7, 8]), (1, "w120", [120, 121]), (2, "w199", [199, 200])
+    ]
+    plan = emb._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("try_cast") < plan.index("LeftSemi")  # nearer to the root: later
+    assert "parquet" not in plan.lower()  # no copy of the text

@@ -173,12 +173,17 @@ def similarity_job(
     rel: Iterable[str] | None = None,
     all_: Iterable[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-dataset results and their averages."""
+    """Per-dataset results and their averages.
+
+    Of the vector files only the words of the datasets are parsed.
+    """
+    pairs = session.cut_lineage(text.read_similarity(spark, datasets, lowercase, encoding))
 
     def table(path):
-        return text.read_word2vec(spark, path, encoding=encoding, precision=precision)
+        # the words of both columns: the order of a monolingual pair is not known
+        words = pairs.select(F.explode(F.array("w1", "w2")).alias("word")).distinct()
+        return text.read_word2vec(spark, path, 0, words, encoding, precision)
 
-    pairs = text.read_similarity(spark, datasets, lowercase, encoding)
     results = session.cut_lineage(
         evaluate_similarity(
             pairs, table(src), None if trg is None else table(trg), backoff

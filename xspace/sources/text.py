@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ordering, session
 from ..operators.analogy import is_syntactic
+from .lines import line_ranges, numbered_lines
 
 # Line-break bytes stay single in these encodings.
 ENCODINGS = {
@@ -32,17 +33,36 @@ def charset(encoding: str) -> str | None:
 
 
 def ordered_lines(
-    spark: SparkSession, paths, encoding: str = "utf-8", per_file: bool = False
+    spark: SparkSession,
+    paths,
+    encoding: str = "utf-8",
+    per_file: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """(file, line_no, value): text lines numbered from 0 in file order.
 
+    Files are read by byte ranges, and where ``most`` is given only those that hold the
+    first ``most`` lines. Several files count on from each other unless ``per_file``.
+    """
+    code = charset(encoding)
+    ranges = line_ranges(spark, paths, per_file, most)
+    if ranges is None:
+        lines = _written_lines(spark, paths, per_file)
+    else:
+        lines = numbered_lines(spark, ranges)
+    value = F.col("value").cast("binary")
+    value = F.decode(value, code) if code is not None else value.cast("string")
+    return lines.select("file", "line_no", value.alias("value"))
+
+
+def _written_lines(spark: SparkSession, paths, per_file: bool) -> DataFrame:
+    """Lines of compressed files, and of file systems that only Spark can open.
+
     Lines are counted per input split and the counts summed up in split order, so
     numbering is a join with one small row per split and never a global sort. The
     lines are written once with the split they came in: a later action, with other
     executors or settings, would split the files anew and no longer fit the counts.
-    Several files count on from each other unless ``per_file``.
     """
-    code = charset(encoding)
     split = ["file", "start"]
     raw = session.cut_lineage(
         spark.read.text(paths).select(
@@ -66,15 +86,10 @@ def ordered_lines(
         "first",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
     )
-    value = F.col("value")
-    if code is not None:
-        value = F.decode(value.cast("binary"), code)
     line_no = F.col("mid") - F.col("first") + F.col("offset")
     known = _require(line_no.isNotNull(), F.lit("a split without an offset"), line_no)
     return raw.join(session.cut_lineage(starts), split, "left").select(
-        "file",
-        known.alias("line_no"),
-        value.alias("value"),
+        "file", known.alias("line_no"), "value"
     )
 
 
@@ -95,7 +110,8 @@ def read_word2vec(
     mode: str = "FAILFAST",
 ) -> DataFrame:
     """(idx, word, vec) from a ``count dim`` header and ``word v1 .. vdim`` lines."""
-    lines = ordered_lines(spark, path, encoding)
+    most = threshold + 1 if threshold > 0 else None
+    lines = ordered_lines(spark, path, encoding, most=most)
     return parse_word2vec_lines(lines, threshold, vocabulary, precision, mode)
 
 
@@ -109,7 +125,8 @@ def parse_word2vec_lines(
     """The same from a (line_no, value) table.
 
     Lines beyond the header's count are ignored; ``threshold`` keeps the first
-    rows, ``vocabulary`` (word) keeps its words and renumbers them. FAILFAST raises
+    rows, ``vocabulary`` (word) keeps its words and renumbers them; the numbers of
+    other words are not parsed, whatever they are. FAILFAST raises
     on a short file or a malformed line, PERMISSIVE puts it in ``_corrupt_record``.
     """
     if mode not in ("FAILFAST", "PERMISSIVE"):
@@ -128,13 +145,12 @@ def parse_word2vec_lines(
         f"'{BLANK_SQL}', ' ')), ' '), t -> try_cast(t AS double))"
     )
     wanted_line = f"line_no BETWEEN 1 AND {wanted}"
-    parsed = lines.where(wanted_line).selectExpr(
-        "line_no - 1 AS idx",
-        "substring_index(value, ' ', 1) AS word",
-        f"{numbers} AS vec",
-        "value",
-        "line_no",
+    named = lines.where(wanted_line).selectExpr(
+        "line_no - 1 AS idx", "substring_index(value, ' ', 1) AS word", "value", "line_no"
     )
+    if vocabulary is not None:
+        named = named.join(vocabulary.select("word"), "word", "left_semi")
+    parsed = named.selectExpr("idx", "word", f"{numbers} AS vec", "value", "line_no")
     good = (
         f"instr(value, ' ') > 0 AND size(vec) = {dim} AND NOT exists(vec, x -> x IS NULL)"
     )
@@ -150,7 +166,7 @@ def parse_word2vec_lines(
             f"CAST(CASE WHEN {good} THEN vec END AS {stored}) AS vec",
             f"CASE WHEN NOT ({good}) THEN value END AS _corrupt_record",
         )
-    return out if vocabulary is None else filter_vocabulary(out, vocabulary)
+    return out if vocabulary is None else ordering.redensify(out).select(*out.columns)
 
 
 def _header(lines: DataFrame) -> tuple[int, int]:
