@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 NEVER = 1 << 62  # rank of a merge that does not take place
-MOST_PIECES = 250_000  # remembered encodings of short pieces per worker and generation
+MOST_PIECES = 400_000  # remembered encodings of short pieces per worker
 LONG_PIECE = 64  # bytes; longer pieces are not remembered
 MOST_PAIRS = 2_000_000  # remembered verdicts on two tokens
 CUT_CHARS = 1 << 20  # a long text is split into pieces this much at a time
 OUT_IDS = 1 << 21  # ids or bytes per Arrow batch sent back
-SLICE_CHARS = 1 << 19  # text whose new pieces are encoded together
 
 
 class PrefixBpe(dict):
@@ -46,7 +45,6 @@ class PrefixBpe(dict):
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, int], list] = {}
         self._pairs: dict[int, bool] = {}
-        self._older: dict[str, bytes] = {}
 
     # -- which tokens may meet ---------------------------------------------------------
 
@@ -115,26 +113,25 @@ class PrefixBpe(dict):
 
     def extend(self, last: array, piece: bytes) -> None:
         """Add the last tokens of the prefixes of ``piece`` beyond those in ``last``."""
-        found = len(last)
-        lowest = max(0, found - self.longest)
-        verdict, add = self._pairs.get, last.append
-        for end, (token, size) in self._trie.iter(piece[lowest:].decode("latin-1")):
-            end += lowest
-            if end < found:
-                continue  # this prefix has its token
-            before = end - size  # of the prefix that the token stands behind
-            if before >= 0:
-                left = last[before]
-                good = verdict(left << 32 | token)
-                if good is None:
-                    good = self.made(token) and self.may_follow(left, token)
-            else:
-                good = before == -1 and self.made(token)
-            if good:
-                add(token)
-                found += 1
-        if found != len(piece):
-            raise ValueError(f"bytes without a token: {piece[found:][:20]!r} in {len(self.rank)} ranks")
+        known = len(last)
+        lowest = max(0, known - self.longest)
+        text = piece[lowest:].decode("latin-1")
+        size_of, may_follow, pairs = self.token, self.may_follow, self._pairs
+        for end, (token, size) in self._trie.iter(text):
+            end += lowest + 1
+            if end <= len(last) or size > end:
+                continue  # found, or in front of this prefix
+            before = end - size
+            if not before:
+                if self.made(token):
+                    last.append(token)
+                continue
+            left = last[before - 1]
+            good = pairs.get(left << 32 | token)
+            if (self.made(token) and may_follow(left, token)) if good is None else good:
+                last.append(token)
+        if len(last) != len(piece):
+            raise ValueError(f"bytes without a token: {piece[len(last):][:20]!r} in {len(size_of)} ranks")
 
     def trace(self, last: array) -> list[int]:
         """The encoding that a table of prefixes ends in."""
@@ -154,76 +151,21 @@ class PrefixBpe(dict):
         return self.trace(last)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._older.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            ids = array("i", self.encode_piece(raw)).tobytes()
-            if len(raw) > LONG_PIECE:
-                return ids
-        return self._keep(piece, ids)
-
-    def _keep(self, piece: str, ids: bytes) -> bytes:
-        if len(self) >= MOST_PIECES:  # pieces met since the last time stay at hand
-            self._older = dict(self)
-            self.clear()
-        self[piece] = ids
+        raw = piece.encode("utf-8", "surrogatepass")
+        ids = np.array(self.encode_piece(raw), dtype="<u4").tobytes()
+        if len(raw) <= LONG_PIECE:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
-    def learn(self, pieces) -> None:
-        """Encode new pieces in sorted order: each keeps the entries of the prefix that it
-        shares with the one before it."""
-        older = self._older
-        new = sorted(p.encode() for p in pieces if p not in self and p not in older and len(p) <= LONG_PIECE // 4)
-        last, before = array("i"), b""
-        for piece in new:
-            whole = self.rank.get(piece)
-            if whole is None:
-                same, most = 0, min(len(before), len(piece))
-                while same < most and before[same] == piece[same]:
-                    same += 1
-                del last[same:]
-                before = piece
-                self.extend(last, piece)
-                ids = self.trace(last)
-            else:
-                ids = [whole]
-            self._keep(piece.decode(), array("i", ids).tobytes())
-
     # -- texts ---------------------------------------------------------------------------
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, split into pieces a bounded stretch at a time."""
-        ids = []
-        for part in stretches(text):
-            pieces = self.pieces(part)
-            if len(text) > CUT_CHARS:
-                self.learn(set(pieces))
-            ids.append(b"".join(map(self.__getitem__, pieces)))
+        ids = [b"".join(map(self.__getitem__, self.pieces(part))) for part in stretches(text)]
         return np.frombuffer(b"".join(ids), dtype="<u4")
 
-    def encode_all(self, texts) -> Iterator[np.ndarray]:
-        """Ids of each text; the new pieces of some texts in a row are encoded together."""
-        held, chars = [], 0
-
-        def flush():
-            split = [self.pieces(t) for t in held]
-            self.learn(set().union(*split))
-            for pieces in split:
-                yield np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
-
-        for text in texts:
-            if len(text) > CUT_CHARS:
-                yield from flush()
-                held, chars = [], 0
-                yield self.encode(text)
-                continue
-            held.append(text)
-            chars += len(text)
-            if chars >= SLICE_CHARS:
-                yield from flush()
-                held, chars = [], 0
-        yield from flush()
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -346,7 +288,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     def ids(batches):
         bpe = loaded(ranks, pattern)
         for batch in batches:
-            made = ((len(x), x) for x in bpe.encode_all(t.as_py() or "" for t in batch.column(at)))
+            made = ((len(x), x) for x in (bpe.encode(t.as_py() or "") for t in batch.column(at)))
             for columns, rows in _batches(batch.columns, batch.schema.names, made):
                 yield pa.RecordBatch.from_arrays([*columns, _ids_array(rows)], [*batch.schema.names, out_col])
 
