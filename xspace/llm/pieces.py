@@ -92,8 +92,8 @@ class Pieces:
             ids, at = [], len(word)
             while at > 0:
                 at, own = back[at]
-                ids[:0] = own
-            out[word] = np.array(ids, dtype="<i4").tobytes()
+                ids.extend(reversed(own))
+            out[word] = np.array(ids[::-1], dtype="<i4").tobytes()
             last = word
         return out
 
