@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import learnable
@@ -14,7 +14,7 @@ from .common import learnable
 SPECTRUM = (1, 2, 3)  # lengths of the character n-grams
 BUCKETS = 8192  # n-grams by hash
 SLICE_CHARS, SLICE_TEXTS = 1_000_000, 512
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # as in training: number signs such as a half are none
 UNKNOWN = "und"
 
 
