@@ -171,11 +171,14 @@ def test_square_root_similarity(vectors_of, route, rng, in_order):
     assert np.allclose(rows, np.sort(root, axis=1) if in_order else root)
 
 
-def test_rank_by_counting(vectors_of, rng, monkeypatch):
+@pytest.mark.parametrize("listed", [1, 3, 100])
+def test_rank_by_counting(vectors_of, rng, monkeypatch, listed):
     from xspace.operators import ranking
 
-    # small groups: several cells, each with its share of the targets
+    # small groups: several cells, each with its share of the targets; short lists leave
+    # most queries to be counted, long ones none
     monkeypatch.setattr(ranking, "STATE_CELLS", 40)
+    monkeypatch.setattr(translate, "LISTED", listed)
     x, z = rng.integers(-2, 3, (29, 3)) * 1.0, rng.integers(-2, 3, (17, 3)) * 1.0
     queries = [0, 3, 4, 11, 28]
     src, trg = vectors_of(x), vectors_of(z)
@@ -198,3 +201,24 @@ def test_sizes_with_an_empty_first_table(vectors_of, rng):
     some = vectors_of(rng.normal(size=(5, 4)))
     none, full = pairs.measure(some.limit(0), some)
     assert (none.rows, none.bytes) == (0, 0) and (full.rows, full.bytes) == (5, 5 * 4 * 8)
+
+
+def test_listed_queries_are_not_counted(vectors_of, rng, monkeypatch):
+    from xspace.operators import ranking
+
+    counted = []
+    cells = ranking.rank_cells
+    monkeypatch.setattr(
+        ranking, "rank_cells", lambda asked, *t: counted.append(asked.count()) or cells(asked, *t)
+    )
+    x = rng.normal(size=(60, 6))
+    x[50:] *= 0.001  # near the origin: on no target's list
+    src, trg = vectors_of(x), vectors_of(rng.normal(size=(40, 6)))
+    wanted = src.select(F.col("idx").alias("src_idx"))
+    got = {r["src_idx"]: r for r in translate.translate(src, trg, wanted, "invnn").collect()}
+    assert len(got) == 60 and len(counted) == 1 and 10 <= counted[0] <= 20
+    sims = trg.orderBy("idx").toPandas()["vec"].apply(np.array).to_list() @ x.T
+    ranks = np.argsort(np.argsort(-sims, axis=1, kind="stable"), axis=1)
+    for q, r in got.items():
+        best = min((ranks[t, q], -sims[t, q], t) for t in range(40))
+        assert (r["score"], r["trg_idx"]) == (best[0], best[2])

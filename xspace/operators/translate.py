@@ -10,6 +10,8 @@ from .lookup import resolve_pairs
 from .normalize import normalize
 
 METHODS = ("nn", "invnn", "invsoftmax", "csls")
+# Sources listed per target before inverted ranks are counted; any length is exact.
+LISTED = 16
 
 
 # SQL condition: both words of a resolved pair are in their vocabulary.
@@ -110,17 +112,29 @@ def _penalised(trg: DataFrame, values: DataFrame) -> DataFrame:
 def _inverted(src: DataFrame, trg: DataFrame, asked: DataFrame) -> DataFrame:
     """For each query the target that ranks it best among all sources.
 
-    A query's rank at a target is counted, not sorted: the sources scoring above
-    it. Equal ranks go to the higher similarity, then to the lower target id.
+    Equal ranks go to the higher similarity, then to the lower target id. The sources
+    nearest to each target bound the ranks: a query's rank is exact at the targets
+    that list it, and at least the length of a list at all others, so a query on any
+    list is settled there. Only queries on no list are counted against all sources.
     """
-    cells = ranking.rank_cells(asked, trg, src)
-    best = cells.mapInArrow(ranking.best_ranks, ranking.RANK_SCHEMA)
+    n_src, n_trg = pairs.measure(src, trg)
+    listed = pairs.top_neighbours(trg, src, LISTED, sizes=(n_trg, n_src))
+    wanted = asked.select(F.col("idx").alias("nbr"))
     order = F.expr("min(struct(rank, -sim AS neg, trg_idx))")
-    return (
-        best.groupBy("src_idx")
-        .agg(order.alias("best"))
-        .selectExpr("src_idx", "best.trg_idx AS trg_idx", "double(best.rank) AS score")
+    ranks = listed.join(wanted, "nbr", "left_semi").selectExpr(
+        "nbr AS src_idx", "idx AS trg_idx", "rank - 1L AS rank", "score AS sim"
     )
+    near = ranks.groupBy("src_idx").agg(order.alias("best"))
+    if n_src.rows > LISTED:
+        near = session.cut_lineage(near)
+        rest = session.cut_lineage(
+            asked.join(near.select(F.col("src_idx").alias("idx")), "idx", "left_anti")
+        )
+        if rest.head() is not None:
+            cells = ranking.rank_cells(rest, trg, src)
+            counted = cells.mapInArrow(ranking.best_ranks, ranking.RANK_SCHEMA)
+            near = near.unionAll(counted.groupBy("src_idx").agg(order.alias("best")))
+    return near.selectExpr("src_idx", "best.trg_idx AS trg_idx", "double(best.rank) AS score")
 
 
 def translation_hits(predicted: DataFrame, gold: DataFrame) -> DataFrame:

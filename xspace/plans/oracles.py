@@ -554,6 +554,19 @@ ORACLES = {
     "d8_normalize_profile": statement(
         "sorted", normalised_cells("sorted", ["unit", "center", "unit"])
     ),
+    "d7_sorted_profiles": statement(
+        "e n",
+        "SELECT i, n AS values, true AS ascending, 1.0::DOUBLE AS own, 0.0::DOUBLE AS gap "
+        "FROM e, n",
+    ),
+    "d8_normalized_profiles": statement(
+        "e",
+        "SELECT unnest(['length', 'mean']) AS kind, i AS idx, unnest([1.0::DOUBLE, 0.0::DOUBLE]) "
+        "AS value FROM e",
+    ),
+    "d9_profile_scores_csls": statement(
+        "e n", f"{PLANTED}, 1.0::DOUBLE AS score FROM e"
+    ),
     "d9_profile_scores": statement(
         "e n", f"{PLANTED}, 1.0::DOUBLE AS score FROM e"
     ),
@@ -578,6 +591,8 @@ ORACLES = {
     "m6_reweighting": ZERO,
     "m7_dewhitening": "SELECT undone, block, i, j, gap FROM (SELECT unnest(['src', 'trg']) AS "
     "undone) u, (SELECT unnest(['xx', 'zz']) AS block) k, (" + ZERO + ") z",
+    "m7_dewhitening_by_side": "SELECT undone, block, i, j, gap FROM (SELECT unnest(['own', 'other']) "
+    "AS undone) u, (SELECT unnest(['xx', 'zz']) AS block) k, (" + ZERO + ") z",
     "m8_dim_reduction": "SELECT * FROM (SELECT unnest(['xx', 'zz']) AS block, i, j, v FROM "
     f"({IDENTITY}) UNION ALL SELECT 'xz', i, j, gap FROM ({ZERO})) WHERE greatest(i, j) < "
     "(SELECT max(len(embedding)) // 4 FROM embeddings)",
@@ -638,6 +653,7 @@ ORACLES = {
         "ALL SELECT 'union', ((SELECT avg(score) FROM fwd) + (SELECT avg(score) FROM bwd)) / 2)",
     ),
     "k12_self_learning": statement("e n", f"{PLANTED}, 1::BIGINT AS w FROM e"),
+    "k12_self_learning_union": statement("e n", f"{PLANTED}, 2::BIGINT AS w FROM e"),
     "k13_validation": statement(
         "sim gold fwd cover",
         "SELECT (SELECT round(avg(m), 6) FROM (SELECT max(sim) AS m FROM gold g JOIN sim s ON "

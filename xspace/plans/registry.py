@@ -278,6 +278,43 @@ def d8_normalize_profile(t):
     return cells(normalize(sorted_, ["unit", "center", "unit"]), "idx")
 
 
+@query
+def d7_sorted_profiles(t):
+    # a turn of the space moves similarities about a row, so sorted rows stay equal
+    own, turned = (
+        session.cut_lineage(seed.sqrt_similarity(emb, True)) for emb in (t.source(), t.rotated())
+    )
+    other = turned.select("idx", F.col("vec").alias("turned"))
+    gaps = F.zip_with("vec", "turned", lambda x, y: F.abs(x - y))
+    return (
+        own.select(F.col("idx").alias("i"), "vec")
+        .withColumn("idx", F.expr(t.trg_idx()))
+        .join(other, "idx")
+        .select(
+            "i",
+            F.size("vec").cast("bigint").alias("values"),
+            (F.sort_array("vec") == F.col("vec")).alias("ascending"),
+            rounded(vectors.dot("vec", "vec")).alias("own"),
+            rounded(F.array_max(gaps)).alias("gap"),
+        )
+    )
+
+
+@query
+def d8_normalized_profiles(t):
+    sorted_ = session.cut_lineage(seed.sqrt_similarity(t.source(), True))
+    centred = normalize(sorted_, ["unit", "center"])
+    means = (
+        centred.select(F.posexplode("vec").alias("pos", "x"))
+        .groupBy(F.col("pos").cast("bigint").alias("pos"))
+        .agg(F.avg("x").alias("mean"))
+    )
+    lengths = normalize(sorted_, ["unit", "center", "unit"]).select(
+        F.lit("length").alias("kind"), "idx", rounded(vectors.dot("vec", "vec")).alias("value")
+    )
+    return lengths.unionAll(means.select(F.lit("mean"), "pos", rounded("mean")))
+
+
 def _profiles(t: Tables):
     actions = ["unit", "center", "unit"]
     return [
@@ -296,6 +333,16 @@ def d9_profile_scores(t):
     return found.select("src_idx", "trg_idx", rounded("score").alias("score"))
 
 
+@query
+def d9_profile_scores_csls(t):
+    # equal profiles score one less the mean of the row's ten best, which is added back
+    src, trg = _profiles(t)
+    found = seed.profile_scores(src, trg, csls=10)
+    near = pairs.topk_mean(src, src, 10).withColumnRenamed("idx", "src_idx")
+    whole = rounded(F.col("score") + F.col("value")).alias("score")
+    return found.join(near, "src_idx").select("src_idx", "trg_idx", whole)
+
+
 @query
 def d10_seed_unsupervised(t):
     actions = ["unit", "center", "unit"]
@@ -376,27 +423,32 @@ def m6_reweighting(t):
     return _off_expected(gram, fit.singular_values**2.5)
 
 
-@query
-def m7_dewhitening(t):
-    # undoing one whitening on both sides leaves both with that side's Gram
+def _undone(t: Tables, cases) -> DataFrame:
+    """Gap between mapped Grams and those of the sides whose whitening was undone."""
     src, trg, bag = _mapping_tables(t, t.shared())
     gram = mapping.collect_joint_gram(src, trg, bag)
     out = None
-    for side in ("src", "trg"):
+    for name, src_side, trg_side in cases:
         fit = mapping.fit_advanced(
-            gram, True, src_dewhiten=side, trg_dewhiten=side
+            gram, True, src_dewhiten=src_side, trg_dewhiten=trg_side
         )
-        own = fit.src_rotation.T @ gram.xx @ fit.src_rotation
-        if side == "trg":
-            own = fit.trg_rotation.T @ gram.zz @ fit.trg_rotation
+        own = {
+            "src": fit.src_rotation.T @ gram.xx @ fit.src_rotation,
+            "trg": fit.trg_rotation.T @ gram.zz @ fit.trg_rotation,
+        }
         expected = t.spark.createDataFrame(
-            [(i, row.tolist()) for i, row in enumerate(own)], "i int, row array<double>"
-        ).select("i", F.posexplode("row").alias("j", "expected"))
+            [
+                (block, i, row.tolist())
+                for block, side in (("xx", src_side), ("zz", trg_side))
+                for i, row in enumerate(own[side])
+            ],
+            "block string, i int, row array<double>",
+        ).select("block", "i", F.posexplode("row").alias("j", "expected"))
         both = _mapped_gram(src, trg, bag, fit.src, fit.trg).where(
             F.col("block") != "xz"
         )
-        part = both.join(expected, ["i", "j"]).select(
-            F.lit(side).alias("undone"),
+        part = both.join(expected, ["block", "i", "j"]).select(
+            F.lit(name).alias("undone"),
             "block",
             "i",
             "j",
@@ -406,6 +458,18 @@ def m7_dewhitening(t):
     return out
 
 
+@query
+def m7_dewhitening(t):
+    # undoing one whitening on both sides leaves both with that side's Gram
+    return _undone(t, [("src", "src", "src"), ("trg", "trg", "trg")])
+
+
+@query
+def m7_dewhitening_by_side(t):
+    # each side its own whitening, as the presets do, and each the other's
+    return _undone(t, [("own", "src", "trg"), ("other", "trg", "src")])
+
+
 @query
 def m8_dim_reduction(t):
     # whitened and turned, the kept dimensions have an identity Gram on each side and
@@ -539,6 +603,22 @@ def k12_self_learning(t):
     return found.join(learned.dictionary, ["src_idx", "trg_idx"])
 
 
+@query
+def k12_self_learning_union(t):
+    # the recommended loop: both directions, neighbourhood means, scores left out at first
+    src, trg = t.source(), t.rotated_noisy()
+    config = MapConfig.preset(
+        "identical",
+        normalize=(),
+        stochastic_initial=0.5,
+        stochastic_interval=2,
+        threshold=1e-4,
+        seed=4,
+    )
+    learned = learn_map(src, trg, seed.seed_numerals(src, trg), config)
+    return learned.dictionary.select("src_idx", "trg_idx", "w")
+
+
 @query
 def k13_validation(t):
     src, trg = shared_tables(t)
