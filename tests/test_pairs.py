@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from xspace.functions import hashing, tiles
+from xspace.functions import hashing, session, tiles
 from xspace.operators import induction, pairs, seed, translate
 
 
@@ -222,3 +222,22 @@ def test_listed_queries_are_not_counted(vectors_of, rng, monkeypatch):
     for q, r in got.items():
         best = min((ranks[t, q], -sims[t, q], t) for t in range(40))
         assert (r["score"], r["trg_idx"]) == (best[0], best[2])
+
+
+@pytest.mark.parametrize("parts", [4, 40, 160])
+def test_partial_states_do_not_grow_with_partitions(spark, vectors_of, rng, parts):
+    x, z = rng.normal(size=(12, 4)), rng.normal(size=(400, 4))
+    held, stream = vectors_of(x), vectors_of(z).repartition(parts)
+    spark.conf.set(session.BROADCAST_BYTES_KEY, "1000")
+    try:
+        scan = pairs.PairScan(held, stream)
+        raw = scan.run([tiles.TopK("left", 5), tiles.LogSumExp("left")])
+        counts = dict(raw.groupBy("job").count().collect())
+        tasks = session.parallelism(spark)
+        assert counts[0] <= 12 * 5 * tasks and counts[1] <= 12 * tasks
+        top = pairs.reduce_top(raw.where("job = 0"), 5).collect()
+    finally:
+        spark.conf.unset(session.BROADCAST_BYTES_KEY)
+    assert {(r["idx"], r["rank"]): r["nbr"] for r in top} == {
+        (i, k): j for i, row in enumerate(best_of(x @ z.T, 5)) for k, j in enumerate(row, 1)
+    }

@@ -109,6 +109,10 @@ class PairScan:
         if self.spread and max(self.left_bytes, self.right_bytes) <= self.limit:
             # small input: spread the arithmetic over all cores
             stream = stream.repartition(session.parallelism(self.spark))
+        held_side = "left" if held_is_left else "right"
+        if any(job.side == held_side for job in jobs):
+            # each task sends its state of every held row: as many tasks as run at once
+            stream = stream.coalesce(session.parallelism(self.spark))
         block = self._held_block()
         extra = (
             None
