@@ -189,6 +189,43 @@ def test_pseudonyms_are_a_permutation(spark):
     assert pseudonymise(days, "k").distinct().count() == 3000
 
 
+def test_dates_stay_apart_and_keep_their_form(spark):
+    days = spark.range(0, 73049, 7).select(F.date_add(F.lit("1900-01-01"), F.col("id").cast("int")).alias("d"))
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "d.M.yyyy", "M.d.yyyy", "d/MM/yyyy"]
+    texts = days.select(F.explode(F.array(*[F.date_format("d", f) for f in forms])).alias("text")).distinct()
+    got = pseudonymise(texts.withColumn("old", F.col("text")), "k", counts=True).collect()
+    assert len({r.text for r in got}) == len(got) > 30000 and all(r.n_date == 1 for r in got)
+    shape = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    assert all(shape(r.text) == shape(r.old) for r in got)
+    assert sum(r.text == r.old for r in got) < 40
+
+
+def test_plain_numbers_are_no_phones(spark):
+    rows = [
+        "+1 000 000 users", "+3.14159265", "1700000000", "(2019) 2020 2021", "see (123) 456 789 rows", "0306406152",
+        "id 4155552671", "100 200 3000 rows", "+12345678 points", "rows 1234567890123", "f(123) 4567 8901", "+999 12",
+    ]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in pseudonymise(table, "key", counts=True).collect():
+        assert r.text == rows[r.doc_id] and r.n_phone == 0, r
+    yes = ["(020) 7946 0958", "212 555 0123", "212.555.0123", "+49 30 901820", "+33 1 42 68 53 00", "Tel.: 0306406152", "phone number (123) 456 789"]
+    table = spark.createDataFrame(list(enumerate(yes)), "doc_id long, text string")
+    once = pseudonymise(table, "key")
+    for r in pseudonymise(once, "other", counts=True).collect():
+        assert r.n_phone == 1 and r.text != yes[r.doc_id], r
+
+
+def test_pseudonyms_with_clashing_columns(spark):
+    row = spark.createDataFrame([(1, "a@b.example.com", "own", 7, "x")], "doc_id long, text string, _known string, N_email long, _known_ string")
+    got = pseudonymise(row, "key").first()
+    assert (got["_known"], got["N_email"], got["_known_"]) == ("own", 7, "x") and got.text != "a@b.example.com"
+    counted = pseudonymise(row, "key", counts=True)
+    assert len({c.lower() for c in counted.columns}) == len(counted.columns)
+    assert counted.first().n_email == 1 and counted.first()["_known"] == "own"
+    twice = pseudonymise(row.unionAll(row).drop("N_email"), "key").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
 def test_phones_of_any_form(spark):
     phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+14155552671", "4155552671", "+44 20 7946 0958", "(020) 7946 0958", "1-415-555-2671"]
     table = spark.createDataFrame([(i, f"tel {p}, x") for i, p in enumerate(phones)], "doc_id long, text string")

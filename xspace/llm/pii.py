@@ -20,10 +20,13 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    # +country code and 3-3-4, 3-3-4, +international in any groups, an area in brackets, ten digits
-    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
-    r"|\+[1-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9A-Za-z])|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
-    r"|[0-9]{10}(?![0-9A-Za-z]))",
+    # 3-3-4 with dots, hyphens or a bracketed area; + and a country code; in spaces, without
+    # separators or with another bracketed area only in a national form or after a cue
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}(?![0-9A-Za-z])"
+    r"|\+[1-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9A-Za-z])|(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9A-Za-z])"
+    r"|\(0[0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
+    r"|(?=[0-9(])(?<=\b(?i:tel|telephone|phone|mobile|cell|call|dial|fax|sms|whatsapp)(?: (?i:no|nr|number))?[.:]{0,2} {0,2})"
+    r"(?:\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3} [0-9]{3} [0-9]{4}|[0-9]{10})(?![0-9A-Za-z]))",
 }
 # Each kind is looked for in the text that valid values of the kinds before it have left.
 ORDER = ("email", "token", "iban", "date", "ip", "ssn", "phone", "card")
@@ -34,6 +37,15 @@ RUNS = {
 }
 GROUPS = {"iban": ("[A-Z0-9]+ ?", 12), "card": ("[0-9]+[ -]?", 19)}  # a group; most groups of a value
 COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+# Digits after a country code, least and most; other codes have 6 to 12.
+NATIONAL = {
+    1: (10, 10), 7: (10, 10), 20: (8, 10), 27: (9, 9), 30: (10, 10), 31: (9, 9), 32: (8, 9), 33: (9, 9), 34: (9, 9),
+    36: (8, 9), 39: (6, 11), 40: (9, 9), 41: (9, 9), 43: (7, 13), 44: (9, 10), 45: (8, 8), 46: (7, 10), 47: (8, 8),
+    48: (9, 9), 49: (7, 13), 51: (8, 9), 52: (10, 10), 54: (10, 11), 55: (10, 11), 56: (9, 9), 57: (10, 10), 60: (8, 10),
+    61: (9, 9), 62: (8, 12), 63: (8, 10), 64: (8, 10), 65: (8, 8), 66: (8, 9), 81: (9, 10), 82: (8, 10), 84: (9, 10),
+    86: (10, 11), 90: (10, 10), 91: (10, 10), 92: (9, 10), 351: (9, 9), 353: (7, 9), 420: (9, 9), 421: (9, 9), 852: (8, 8),
+    886: (8, 9), 966: (8, 9), 971: (8, 9), 972: (8, 9),
+}
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = DIGITS + "abcdef"
 # Dates are permuted within 1900-01-01 .. 2099-12-31.
@@ -95,10 +107,10 @@ def feistel_number(x: str, base: int, key: str, tag: str) -> str:
     )
 
 
-def walked(first: str, again, valid, tag: str) -> str:
-    """Cycle walking: permute on until the value is valid again (64 steps: never missed in practice)."""
+def walked(first: str, again, valid, tag: str, steps: int = 64) -> str:
+    """Cycle walking: permute on until the value is valid again (within ``steps``: never missed in practice)."""
     w, n = f"{tag}_w", f"{tag}_n"
-    return f"aggregate(sequence(1, 64), {first}, ({w}, {n}) -> IF({valid(w)}, {w}, {again(w)}))"
+    return f"aggregate(sequence(1, {steps}), {first}, ({w}, {n}) -> IF({valid(w)}, {w}, {again(w)}))"
 
 
 def luhn(d: str, tag: str) -> str:
@@ -151,6 +163,28 @@ def _date_parts(m: str) -> dict[str, str]:
     }
 
 
+def _country_digits(m: str, d: str) -> str:
+    """Leading digits of a phone number that its pseudonym keeps: country code or trunk zero."""
+    return (
+        f"CASE WHEN {m} LIKE '+%' THEN length(regexp_extract({d}, {quoted(COUNTRY)}, 0))"
+        f" WHEN {m} LIKE '(0%' AND NOT {d} RLIKE '^[0-9]{{10}}$' THEN 1"
+        f" ELSE greatest(length({d}) - 10, 0) END"
+    )
+
+
+def _is_phone(m: str) -> str:
+    """A number with + has a length its country uses and is no decimal; the other forms say what they are."""
+    d = _digits(m)
+    code = f"CAST(regexp_extract({d}, {quoted(COUNTRY)}, 0) AS int)"
+    rest = f"length({d}) - length(regexp_extract({d}, {quoted(COUNTRY)}, 0))"
+    lengths = " ".join(f"WHEN {c} THEN {rest} BETWEEN {lo} AND {hi}" for c, (lo, hi) in NATIONAL.items())
+    grouped = quoted(r"(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}$")
+    decimal = quoted(r"^\+[0-9]+[.][0-9]+$")
+    planned = f"NOT {m} RLIKE {decimal} AND CASE {code} {lengths} ELSE {rest} BETWEEN 6 AND 12 END"
+    trunk = f"NOT {m} LIKE '(0%' OR length({d}) BETWEEN 9 AND 11"
+    return f"CASE WHEN {m} RLIKE {grouped} THEN true WHEN {m} LIKE '+%' THEN {planned} ELSE {trunk} END"
+
+
 def kind_tests(m: str) -> dict[str, str]:
     """Per kind, whether a match of its pattern holds what its form promises."""
     d, compact = _digits(m), f"replace({m}, ' ', '')"
@@ -161,7 +195,7 @@ def kind_tests(m: str) -> dict[str, str]:
     return {
         "email": "true", "token": f"{m} RLIKE '[0-9]'", "iban": f"{is_kind(m, 'iban')} AND length({compact}) <= 34 AND {iban}",
         "date": f"{date} IS NOT NULL", "ip": octets, "ssn": ssn,
-        "card": f"length({d}) BETWEEN 13 AND 19 AND {luhn(d, 'kl')} % 10 = 0", "phone": "true",
+        "card": f"length({d}) BETWEEN 13 AND 19 AND {luhn(d, 'kl')} % 10 = 0", "phone": _is_phone(m),
     }
 
 
@@ -221,12 +255,13 @@ def pseudonym_sql(m: str, kind: str, key: str) -> str:
     ssn_ok = lambda x: f"{x} RLIKE '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$'"
     ssn_step = lambda x: feistel(x, key + "ssn", tag="s")
     ssn = _let(walked(ssn_step(d), ssn_step, ssn_ok, "s"), "ns", placed(m, "ns", "[0-9]", "sp"))
-    # a phone number keeps its country code; without a + that is what precedes the last ten digits
-    code = f"IF({m} LIKE '+%', length(regexp_extract({d}, {quoted(COUNTRY)}, 0)), greatest(length({d}) - 10, 0))"
-    phone = _let(
-        f"concat(substring({d}, 1, {code}), {feistel(f'substring({d}, {code} + 1)', key + 'phone', tag='p')})",
-        "np", placed(m, "np", "[0-9]", "pp"),
-    )
+    # a phone number keeps its country code, and whether its digits are a North American number
+    area = lambda x: f"({x} RLIKE '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$')"
+    phone_step = lambda x: feistel(x, key + "phone", tag="p")
+    national = _let(f"substring({d}, {_country_digits(m, d)} + 1)", "pd", walked(
+        phone_step("pd"), phone_step, lambda x: f"{area(x)} = {area('pd')}", "pw"
+    ))
+    phone = _let(f"concat(substring({d}, 1, {_country_digits(m, d)}), {national})", "np", placed(m, "np", "[0-9]", "pp"))
     compact = f"replace({m}, ' ', '')"
     iban = _let(
         feistel(f"substring({compact}, 5)", key + "iban", tag="i"), "ni",
@@ -240,16 +275,31 @@ def pseudonym_sql(m: str, kind: str, key: str) -> str:
     step = lambda x: feistel_number(x, DAY_BASE, key + "date", "d")
     read = _date_parts(m)
 
-    def dated(name: str, form: str) -> str:
-        day = f"CAST(datediff({read[name]}, {FIRST_DAY}) AS bigint)"
-        new = walked(step(day), step, lambda x: f"{x} < {N_DAYS}", "d")
-        return f"date_format(date_add({FIRST_DAY}, CAST({new} AS int)), {form})"
+    first, second = (f"split({m}, '[-./]')[{k}]" for k in range(2))
+    on = lambda x: f"date_add({FIRST_DAY}, CAST({x} AS int))"
+    width = lambda x, like: f"IF(length({like}) = 2, lpad({x}, 2, '0'), CAST({x} AS string))"
 
-    sep = f"IF({m} LIKE '%.%', 'dd.MM.yyyy', 'dd/MM/yyyy')"
-    swapped = f"IF({m} LIKE '%.%', 'MM.dd.yyyy', 'MM/dd/yyyy')"
+    def dated(reading: str, within, form) -> str:
+        """The day moved among the days that ``within`` allows, written by ``form``."""
+        day = f"CAST(datediff({read[reading]}, {FIRST_DAY}) AS bigint)"
+        new = walked(step(day), step, lambda x: f"IF({x} < {N_DAYS}, {within(on(x))}, false)", "d", 192)
+        return _let(on(new), "dn", form("dn"))
+
+    # readings: both (day and month up to 12), day first only, month first only; digits keep their number
+    fits = lambda x, like: f"(length({like}) = 2 OR {x} < 10)"
+    day_first = lambda few: lambda x: (
+        f"(dayofmonth({x}) <= 12) = {few} AND {fits(f'dayofmonth({x})', first)} AND {fits(f'month({x})', second)}"
+    )
+    month_first = lambda x: f"dayofmonth({x}) > 12 AND {fits(f'month({x})', first)}"
+    seps = f"substring({m}, length({first}) + 1, 1)", f"substring({m}, length({first}) + length({second}) + 2, 1)"
+    put = lambda a, b, y: f"concat({width(a, first)}, {seps[0]}, {width(b, second)}, {seps[1]}, {y})"
+    as_dmy = lambda x: put(f"dayofmonth({x})", f"month({x})", f"year({x})")
+    as_mdy = lambda x: put(f"month({x})", f"dayofmonth({x})", f"year({x})")
     date = (
-        f"CASE WHEN {read['ymd']} IS NOT NULL THEN {dated('ymd', quoted('yyyy-MM-dd'))}"
-        f" WHEN {read['dmy']} IS NOT NULL THEN {dated('dmy', sep)} ELSE {dated('mdy', swapped)} END"
+        f"CASE WHEN {read['ymd']} IS NOT NULL THEN {dated('ymd', lambda x: 'true', lambda x: f'CAST({x} AS string)')}"
+        f" WHEN {read['dmy']} IS NOT NULL AND {read['mdy']} IS NOT NULL THEN {dated('dmy', day_first('true'), as_dmy)}"
+        f" WHEN {read['dmy']} IS NOT NULL THEN {dated('dmy', day_first('false'), as_dmy)}"
+        f" ELSE {dated('mdy', month_first, as_mdy)} END"
     )
     # of an address all but the last label is permuted
     local = f"substring({m}, 1, length({m}) - length(substring_index({m}, '.', -1)) - 1)"
@@ -268,23 +318,31 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     Addresses, hexadecimal and issuer tokens, IBANs, dates, IPv4 addresses, social
     security, card and phone numbers are replaced if valid; everything else of a text
     stays as it is, and so do null and empty texts, other columns and the row count.
-    With ``counts`` a column ``n_<kind>`` per kind follows. A date is read day first
-    where both readings are calendar days. Phone numbers are all that have the form of
-    one, whatever their digits: 3-3-4 groups, ten digits in a row, an area in brackets,
-    and a + with 7 to 15 digits in any groups; their country code stays. A kind is looked
-    for in what valid values of the kinds before it left, and cards and IBANs at all
-    group borders of longer runs.
+    With ``counts`` a column ``n_<kind>`` per kind follows; an input column of that name
+    gives way to it. A date is read day first where both readings are calendar days, and
+    its pseudonym has the same readings and as many digits, so equal pseudonyms come from
+    equal dates. Phone numbers are 3-3-4 groups divided by dots, hyphens or a bracketed
+    area, whatever their digits; a + with a country code and as many digits as that country
+    uses; North American numbers in spaces; an area with its trunk zero in brackets; and,
+    right after a word such as "tel", ten digits in a row or any bracketed area. Country
+    code and trunk zero stay. A kind is looked for in what valid values of the kinds before
+    it left, and cards and IBANs at all group borders of longer runs. Repeated rows get
+    equal texts; an empty table gives no rows.
     """
-    text = f"`{text_col}`"
+    text, held = f"`{text_col}`", "_known"
+    taken = {c.lower() for c in docs.columns}
+    while held in taken:
+        held += "_"
     none = "CAST(array() AS array<struct<t:string,k:string>>)"
-    known = docs.withColumn("_known", F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN array({_piece(text)}) ELSE {none} END"))
+    known = docs.withColumn(held, F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN array({_piece(text)}) ELSE {none} END"))
     for kind in ORDER:
-        cut = f"flatten(transform(_known, kx -> IF(kx.k = '', {cut_sql('kx.t', kind)}, array(kx))))"
-        known = known.withColumn("_known", F.expr(cut))
-    joined = f"array_join(transform(_known, pm -> {pseudonym_sql('pm.t', 'pm.k', key)}), '')"
-    out = {text_col: F.expr(f"CASE WHEN size(_known) > 1 THEN {joined} ELSE {text} END")}
+        cut = f"flatten(transform({held}, kx -> IF(kx.k = '', {cut_sql('kx.t', kind)}, array(kx))))"
+        known = known.withColumn(held, F.expr(cut))
+    joined = f"array_join(transform({held}, pm -> {pseudonym_sql('pm.t', 'pm.k', key)}), '')"
+    out = {text_col: F.expr(f"CASE WHEN size({held}) > 1 THEN {joined} ELSE {text} END")}
     tally = {
-        f"n_{k}": F.expr(f"CAST(coalesce(size(filter(_known, kx -> kx.k = '{k}')), 0) AS bigint)") for k in KINDS
+        f"n_{k}": F.expr(f"CAST(coalesce(size(filter({held}, kx -> kx.k = '{k}')), 0) AS bigint)") for k in KINDS
     }
-    named = [out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return known.select(*named, *[c.alias(n) for n, c in tally.items() if counts])
+    tally = tally if counts else {}
+    named = [out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c.lower() not in tally]
+    return known.select(*named, *[c.alias(n) for n, c in tally.items()])
