@@ -278,6 +278,33 @@ def test_jaccard_groups_chain_and_common_words(spark):
     assert got == near_classes(rows)
 
 
+def test_jaccard_groups_of_a_template_in_parts(spark, monkeypatch):
+    # one block of many documents that mostly do not link, cut into small parts
+    monkeypatch.setattr("xspace.llm.jaccard_join.BLOCK_PART", 7)
+    rng = random.Random(8)
+    base = sentence(rng, 100, 10**6).split()
+    rows = []
+    for d in range(90):
+        ws = list(base)
+        for j in rng.sample(range(100), rng.choice((2, 3, 4))):
+            ws[j] = f"n{rng.random()}"
+        rows.append((d, " ".join(ws)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(table).collect()}
+    assert got == near_classes(rows)
+
+
+def test_substring_dedup_with_a_passage_in_most_documents(spark):
+    rng = random.Random(9)
+    common = sentence(rng, 40, 10**6)
+    rows = [(d, f"{sentence(rng, 20, 10**6)} {common if d % 5 else ''} {sentence(rng, 15, 10**6)}") for d in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(table).collect()}
+    expected = repeated(rows)
+    assert {d: v[1] for d, v in got.items()} == {d: v[1] for d, v in expected.items()}
+    assert sum(v[1] for v in got.values()) == 159 * 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 100), (300, 300)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

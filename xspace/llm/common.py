@@ -35,6 +35,24 @@ def small_side(settled: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(settled) if settled.count() * row_bytes <= limit else settled
 
 
+def join_spread(facts: DataFrame, table: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Join of ``facts`` to a settled ``table``, unique in ``on``, with frequent keys over several tasks.
+
+    ``count`` names the table's column of the facts of a key. A key with a share s of them
+    is split into ceil(s * P) parts, P being the shuffle partitions. Fewer than P keys
+    have over 1/P of the facts, so the list of split keys is short whatever the data.
+    """
+    parts = session.shuffle_partitions(table.sparkSession)
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).head()[0]
+    often = table.where(F.col(count) * parts > total)
+    ways = F.ceil(F.col(count) * parts / max(1, total)).cast("int")
+    often = F.broadcast(often.select(*on, ways.alias("_ways")))
+    split = F.coalesce("_ways", F.lit(1))
+    spread = facts.join(often, on, "left").withColumn("_part", F.pmod(F.xxhash64(*facts.columns), split).cast("int"))
+    copied = table.join(often, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), split - 1)))
+    return spread.drop("_ways").join(copied.drop("_ways", count), [*on, "_part"]).drop("_part")
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not among ``ids`` (id); null ids stay."""
     gone = small_side(settle(ids.select(F.col("id").alias("_gone"))), 64)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle, small_side
+from .common import join_spread, settle, small_side
 from .hashing import BASES, mixed, sequence_hashes, slices, split_words, starts_inside
 
 
@@ -114,7 +114,8 @@ def repeated_spans(docs: DataFrame, length: int = 13, seed: int = 6, id_col="doc
     2. Anchors of each other text; only anchors met in two documents go on.
     3. Each window around such an anchor is compared with the others of that anchor by
        a 128-bit hash of its words; the smallest id that has it decides.
-    Joins carry one row per document and anchor (or window), never pairs of documents.
+    Joins carry one row per document and anchor (or window), never pairs of documents;
+    frequent anchors and windows are split over tasks.
     """
     anchors = Anchors(length, seed)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
@@ -125,15 +126,16 @@ def repeated_spans(docs: DataFrame, length: int = 13, seed: int = 6, id_col="doc
     firsts = source.join(small_side(copies, 64), F.col("id") == F.col("copy"), "left_anti")
 
     rows = _anchor_rows(firsts, anchors)
-    met = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor")
+    least_largest = F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("k")
+    met = settle(rows.groupBy("anchor").agg(*least_largest).where("a < z").select("anchor", "k"))
     shared = settle(
-        rows.join(met, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+        join_spread(rows, met, ["anchor"], "k").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
     )
     ids = small_side(settle(shared.select(F.col("id").alias("has"))), 64)
     some = firsts.join(ids, F.col("id") == F.col("has"), "left_semi")
     windows = _window_rows(some.join(shared, "id"), anchors)
-    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    repeated = windows.join(first.select("h1", "h2", "a"), ["h1", "h2"]).where("id > a").select("id", "start")
+    first = settle(windows.groupBy("h1", "h2").agg(*least_largest).where("a < z").select("h1", "h2", "a", "k"))
+    repeated = join_spread(windows, first, ["h1", "h2"], "k").where("id > a").select("id", "start")
     found = _spans(repeated, length)
     whole = copies.select(
         F.col("copy").alias("id"), F.array(F.lit(0)).alias("begins"), F.array(F.lit(2**31 - 1)).alias("ends")
