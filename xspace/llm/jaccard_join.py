@@ -14,6 +14,7 @@ from .graph import components
 from .hashing import BASES, mixed, sequence_hashes, slices, starts_inside
 
 SKETCH_BITS = 512  # larger sets have a second sketch with at least one bit an element
+BLOCK_PART = 256  # members of a block that one task compares with the others
 COMMON_SHARE = 1e-3  # of the documents: shingles of more are laid in blocks of their own
 MOST_COMMON = 500_000
 BAND = 4  # ratio of the set sizes of a band
@@ -315,12 +316,17 @@ def jaccard_groups(
     # blocks that hold several classes: the pairs that neither the least nor the largest id has settled
     others = members.where("id <> a AND id <> z").select("key", "id").distinct()
     labelled = others.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed_blocks = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    open_ = labelled.join(mixed_blocks.select("key"), "key").join(facts.drop("wide"), "id")
-    open_ = settle(open_.select("key", F.struct("id", "label", "n", "sketch").alias("a")))
-    again = open_.withColumnRenamed("a", "b")
+    mixed_blocks = labelled.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK_PART).cast("int").alias("ways")
+    ).where("lo < hi")
+    open_ = labelled.join(mixed_blocks.select("key", "ways"), "key").join(facts.drop("wide"), "id")
+    open_ = settle(open_.select("key", "ways", F.struct("id", "label", "n", "sketch").alias("a")))
+    # a large block is cut into parts, each compared with the whole block by itself
+    again = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part"), F.col("a").alias("b"))
+    open_ = open_.select("key", F.pmod(F.xxhash64("a.id"), "ways").cast("int").alias("part"), "a")
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b", percent)
-    crossed = open_.join(again, (open_["key"] == again["key"]) & apart).select(
+    same = (open_["key"] == again["key"]) & (open_["part"] == again["part"])
+    crossed = open_.join(again, same & apart).select(
         F.col("a.id").alias("u"), F.col("b.id").alias("v"), (F.col("a.n") + F.col("b.n")).alias("both")
     )
     # a pair of another block that was compared there and does not link is not read again
