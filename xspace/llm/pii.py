@@ -107,10 +107,10 @@ def feistel_number(x: str, base: int, key: str, tag: str) -> str:
     )
 
 
-def walked(first: str, again, valid, tag: str, steps: int = 64) -> str:
-    """Cycle walking: permute on until the value is valid again (within ``steps``: never missed in practice)."""
+def walked(x: str, step, valid, tag: str, steps: int = 64) -> str:
+    """Cycle walking: permute ``x`` until the value is valid again (within ``steps``: never missed in practice)."""
     w, n = f"{tag}_w", f"{tag}_n"
-    return f"aggregate(sequence(1, {steps}), {first}, ({w}, {n}) -> IF({valid(w)}, {w}, {again(w)}))"
+    return f"aggregate(sequence(0, {steps}), {x}, ({w}, {n}) -> IF({n} > 0 AND {valid(w)}, {w}, {step(w)}))"
 
 
 def luhn(d: str, tag: str) -> str:
@@ -175,12 +175,11 @@ def _country_digits(m: str, d: str) -> str:
 def _is_phone(m: str) -> str:
     """A number with + has a length its country uses and is no decimal; the other forms say what they are."""
     d = _digits(m)
-    code = f"CAST(regexp_extract({d}, {quoted(COUNTRY)}, 0) AS int)"
-    rest = f"length({d}) - length(regexp_extract({d}, {quoted(COUNTRY)}, 0))"
-    lengths = " ".join(f"WHEN {c} THEN {rest} BETWEEN {lo} AND {hi}" for c, (lo, hi) in NATIONAL.items())
+    listed = "|".join(f"{c}[0-9]{{{lo},{hi}}}" for c, (lo, hi) in NATIONAL.items())
+    others = f"(?!{'|'.join(map(str, NATIONAL))}){COUNTRY[1:]}[0-9]{{6,12}}"
     grouped = quoted(r"(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}$")
     decimal = quoted(r"^\+[0-9]+[.][0-9]+$")
-    planned = f"NOT {m} RLIKE {decimal} AND CASE {code} {lengths} ELSE {rest} BETWEEN 6 AND 12 END"
+    planned = f"NOT {m} RLIKE {decimal} AND {d} RLIKE {quoted(f'^(?:{listed}|{others})$')}"
     trunk = f"NOT {m} LIKE '(0%' OR length({d}) BETWEEN 9 AND 11"
     return f"CASE WHEN {m} RLIKE {grouped} THEN true WHEN {m} LIKE '+%' THEN {planned} ELSE {trunk} END"
 
@@ -254,12 +253,12 @@ def pseudonym_sql(m: str, kind: str, key: str) -> str:
     )
     ssn_ok = lambda x: f"{x} RLIKE '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$'"
     ssn_step = lambda x: feistel(x, key + "ssn", tag="s")
-    ssn = _let(walked(ssn_step(d), ssn_step, ssn_ok, "s"), "ns", placed(m, "ns", "[0-9]", "sp"))
+    ssn = _let(walked(d, ssn_step, ssn_ok, "s"), "ns", placed(m, "ns", "[0-9]", "sp"))
     # a phone number keeps its country code, and whether its digits are a North American number
     area = lambda x: f"({x} RLIKE '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$')"
     phone_step = lambda x: feistel(x, key + "phone", tag="p")
     national = _let(f"substring({d}, {_country_digits(m, d)} + 1)", "pd", walked(
-        phone_step("pd"), phone_step, lambda x: f"{area(x)} = {area('pd')}", "pw"
+        "pd", phone_step, lambda x: f"{area(x)} = {area('pd')}", "pw"
     ))
     phone = _let(f"concat(substring({d}, 1, {_country_digits(m, d)}), {national})", "np", placed(m, "np", "[0-9]", "pp"))
     compact = f"replace({m}, ' ', '')"
@@ -279,28 +278,29 @@ def pseudonym_sql(m: str, kind: str, key: str) -> str:
     on = lambda x: f"date_add({FIRST_DAY}, CAST({x} AS int))"
     width = lambda x, like: f"IF(length({like}) = 2, lpad({x}, 2, '0'), CAST({x} AS string))"
 
-    def dated(reading: str, within, form) -> str:
-        """The day moved among the days that ``within`` allows, written by ``form``."""
-        day = f"CAST(datediff({read[reading]}, {FIRST_DAY}) AS bigint)"
-        new = walked(step(day), step, lambda x: f"IF({x} < {N_DAYS}, {within(on(x))}, false)", "d", 192)
-        return _let(on(new), "dn", form("dn"))
-
-    # readings: both (day and month up to 12), day first only, month first only; digits keep their number
+    # readings: y-m-d, both (day and month up to 12), day first only, month first only; the
+    # day moves among those of its reading whose digits are as many
     fits = lambda x, like: f"(length({like}) = 2 OR {x} < 10)"
-    day_first = lambda few: lambda x: (
-        f"(dayofmonth({x}) <= 12) = {few} AND {fits(f'dayofmonth({x})', first)} AND {fits(f'month({x})', second)}"
+    within = lambda x: (
+        f"CASE WHEN {x} >= {N_DAYS} THEN false WHEN dk.ymd IS NOT NULL THEN true"
+        f" WHEN dk.dmy IS NULL THEN dayofmonth({on(x)}) > 12 AND {fits(f'month({on(x)})', 'dk.a')}"
+        f" ELSE (dayofmonth({on(x)}) <= 12) = (dk.mdy IS NOT NULL)"
+        f" AND {fits(f'dayofmonth({on(x)})', 'dk.a')} AND {fits(f'month({on(x)})', 'dk.b')} END"
+    )
+    day = f"CAST(datediff(coalesce(dk.ymd, dk.dmy, dk.mdy), {FIRST_DAY}) AS bigint)"
+    seps = "substring({m}, length(dk.a) + 1, 1)", "substring({m}, length(dk.a) + length(dk.b) + 2, 1)"
+    put = lambda a, b: (
+        f"concat({width(a, 'dk.a')}, {seps[0]}, {width(b, 'dk.b')}, {seps[1]}, year(dn))".replace("{m}", m)
     )
-    month_first = lambda x: f"dayofmonth({x}) > 12 AND {fits(f'month({x})', first)}"
-    seps = f"substring({m}, length({first}) + 1, 1)", f"substring({m}, length({first}) + length({second}) + 2, 1)"
-    put = lambda a, b, y: f"concat({width(a, first)}, {seps[0]}, {width(b, second)}, {seps[1]}, {y})"
-    as_dmy = lambda x: put(f"dayofmonth({x})", f"month({x})", f"year({x})")
-    as_mdy = lambda x: put(f"month({x})", f"dayofmonth({x})", f"year({x})")
-    date = (
-        f"CASE WHEN {read['ymd']} IS NOT NULL THEN {dated('ymd', lambda x: 'true', lambda x: f'CAST({x} AS string)')}"
-        f" WHEN {read['dmy']} IS NOT NULL AND {read['mdy']} IS NOT NULL THEN {dated('dmy', day_first('true'), as_dmy)}"
-        f" WHEN {read['dmy']} IS NOT NULL THEN {dated('dmy', day_first('false'), as_dmy)}"
-        f" ELSE {dated('mdy', month_first, as_mdy)} END"
+    written = (
+        f"CASE WHEN dk.ymd IS NOT NULL THEN CAST(dn AS string)"
+        f" WHEN dk.dmy IS NOT NULL THEN {put('dayofmonth(dn)', 'month(dn)')} ELSE {put('month(dn)', 'dayofmonth(dn)')} END"
     )
+    parts = ", ".join(f"'{name}', {sql}" for name, sql in read.items())
+    date = _let(
+        f"named_struct({parts}, 'a', {first}, 'b', {second})", "dk",
+        _let(on(walked(day, step, within, "d", 192)), "dn", written),
+    )
     # of an address all but the last label is permuted
     local = f"substring({m}, 1, length({m}) - length(substring_index({m}, '.', -1)) - 1)"
     email = f"concat({feistel(local, key + 'email', tag='e')}, '.', substring_index({m}, '.', -1))"
