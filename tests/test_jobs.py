@@ -75,6 +75,35 @@ def test_mapping_job_for_each_preset(spark, languages, preset):
     assert width == (6 if preset == "aaai2018" else 8)
 
 
+def test_iterations_are_logged_as_they_end_and_unknown_pairs_returned(spark, languages):
+    paths, train, test, folder = languages
+    config = MapConfig.preset("semi_supervised", **SETTINGS["semi_supervised"])
+    with open(train, "a") as file:
+        file.write("zzz t2\n")
+
+    def run(name, on_iteration=None):
+        out = [str(folder / f"{name}-{side}") for side in ("src", "trg")]
+        log = str(folder / f"{name}-log")
+        return jobs.map_job(
+            spark, paths["src"], paths["trg"], *out, config,
+            dictionary=train, validation=test, log=log, on_iteration=on_iteration,
+        )
+
+    learned = run("whole")
+    assert [tuple(r) for r in learned.oov.collect()] == [("zzz", "t2", 1)]
+    turns = spark.read.text(str(folder / "whole-log-turns")).orderBy("iteration").collect()
+    assert [r["iteration"] for r in turns] == list(range(1, len(learned.log_rows) + 1))
+    assert {r["value"] for r in turns} == {r[0] for r in spark.read.text(str(folder / "whole-log")).collect()}
+
+    def stop(row):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        run("killed", stop)
+    left = spark.read.text(str(folder / "killed-log-turns")).collect()
+    assert [r["iteration"] for r in left] == [1] and left[0]["value"].startswith("1	")
+
+
 @pytest.mark.parametrize("retrieval", translate.METHODS)
 def test_retrieval_methods_from_files(spark, languages, retrieval):
     paths, _, test, folder = languages
@@ -170,6 +199,7 @@ def test_analogy_job(spark, tmp_path):
         if r["level"] == "kind"
     }
     assert kinds == {False: 1.0, True: 0.5}
+    assert {r["refused_lines"] for r in total.collect()} == {1}
 
 
 def test_own_words_score_minus_one(spark, vectors_of):

@@ -71,6 +71,62 @@ def test_bytes_outside_the_encoding_survive(spark, tmp_path):
     assert written == raw
 
 
+WORDS = {
+    "gbk": "词语",
+    "gb18030": "词𠀀",
+    "shift_jis": "表示ソ",  # second bytes that are ASCII letters and backslashes
+    "big5": "許功蓋",
+    "euc-kr": "단어",
+    "iso2022_jp": "言葉",
+    "cp1251": "слово",
+    "utf-16": "wörd𝔸",
+    "utf-16-le": "上਍",  # units with the bytes of line breaks in them
+    "utf-16-be": "上਍",
+    "utf-32": "wörd𝔸",
+}
+
+
+@pytest.mark.parametrize("encoding", list(WORDS))
+def test_lines_of_any_encoding_round_trip(spark, tmp_path, small_splits, encoding):
+    words = [f"{WORDS[encoding]}{i}" for i in range(90)]
+    raw = ("90 2\n" + "".join(f"{w} {i} 0.5\n" for i, w in enumerate(words))).encode(encoding)
+    (tmp_path / "v.txt").write_bytes(raw)
+    emb = text.read_word2vec(spark, str(tmp_path / "v.txt"), encoding=encoding)
+    rows = emb.orderBy("idx").collect()
+    assert [r["word"] for r in rows] == words and [r["idx"] for r in rows] == list(range(90))
+    few = text.read_word2vec(spark, str(tmp_path / "v.txt"), 7, encoding=encoding)
+    assert [r["word"] for r in few.orderBy("idx").collect()] == words[:7]
+    sinks.write_word2vec(emb, str(tmp_path / "out"), encoding)
+    written = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part*")))
+    assert written == raw
+
+
+@pytest.mark.parametrize("encoding", ["ascii", "gbk", "euc-kr", "cp1252"])
+def test_bytes_outside_any_encoding_survive(spark, tmp_path, encoding):
+    raw = b"3 2\nab\xff 1 2\n\x81 5 6\nc 3 4\n"
+    (tmp_path / "v.txt").write_bytes(raw)
+    emb = text.read_word2vec(spark, str(tmp_path / "v.txt"), encoding=encoding)
+    sinks.write_word2vec(emb, str(tmp_path / "out"), encoding)
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part*"))) == raw
+
+
+def test_line_breaks_of_wide_units(spark, tmp_path, small_splits):
+    lines = [f"line {i} \ud800" if i % 7 == 0 else f"line {i}" for i in range(120)]
+    for name, mark, codec in (("a.txt", "\ufeff", "utf-16-be"), ("b.txt", "", "utf-16-le")):
+        joined = mark + "".join(x + ("\r\n", "\n", "\r")[i % 3] for i, x in enumerate(lines))
+        (tmp_path / name).write_bytes(joined.encode(codec, "surrogatepass"))
+    got = text.ordered_lines(spark, str(tmp_path), "utf-16").selectExpr("line_no", "CAST(value AS binary) AS v")
+    expected = [x.encode("utf-8", "surrogatepass") for x in lines] * 2
+    assert [bytes(r["v"]) for r in got.orderBy("line_no").collect()] == expected
+
+
+@pytest.mark.parametrize("encoding", ["cp037", "hz", "no such codec"])
+def test_encodings_whose_lines_cannot_be_found_are_refused(spark, tmp_path, encoding):
+    (tmp_path / "v.txt").write_text("1 1\na 1\n")
+    with pytest.raises(ValueError, match="encoding"):
+        text.read_word2vec(spark, str(tmp_path / "v.txt"), encoding=encoding)
+
+
 def test_header_and_line_checks(spark):
     good = lines_of(spark, ["2 3", "a 1 2 3 ", "b 4  5 6", "c 7 8"])
     got = text.parse_word2vec_lines(good).orderBy("idx").collect()

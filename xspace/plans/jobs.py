@@ -76,6 +76,8 @@ def map_tables(
         gold, coverage = translate.gold_dictionary(validation, src, trg)
         checker = Validation(src, trg, gold, coverage.head()["coverage"])
     learned = learn_map(src, trg, pairs, config, checker, on_iteration)
+    if dictionary is not None and config.init == "dictionary":
+        learned.oov = seed.oov_pairs(dictionary, src, trg)
     return (
         apply_map(src, learned.linear.src),
         apply_map(trg, learned.linear.trg),
@@ -95,15 +97,26 @@ def map_job(
     log: str | None = None,
     on_iteration=None,
 ) -> LearnedMap:
-    """Learn a mapping between two vector files and write both in shared space."""
+    """Learn a mapping between two vector files and write both in shared space.
+
+    ``log`` is written in order at the end; until then each iteration's line is in the
+    folder ``<log>-turns`` as soon as the iteration has ended. The result's ``oov`` holds
+    the training pairs that were left out.
+    """
     enc = config.encoding
 
     def pairs(path):
         return None if path is None else text.read_dictionary(spark, path, enc)
 
+    def turn(row):
+        if log is not None:
+            sinks.append_training_log(sinks.training_log(spark, [row]), f"{log}-turns")
+        if on_iteration is not None:
+            on_iteration(row)
+
     tables = [text.read_word2vec(spark, p, encoding=enc) for p in (src_input, trg_input)]
     src, trg, learned = map_tables(
-        *tables, config, pairs(dictionary), pairs(validation), on_iteration
+        *tables, config, pairs(dictionary), pairs(validation), turn
     )
     sinks.write_word2vec(src, src_output, enc)
     sinks.write_word2vec(trg, trg_output, enc)
@@ -208,12 +221,17 @@ def analogy_job(
     encoding: str = "utf-8",
     precision: str = "fp32",
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-category and rolled-up accuracy and coverage."""
+    """Per-category and rolled-up accuracy and coverage.
+
+    Lines that are not four words are set aside by the reader; the totals carry their
+    number over the whole file as ``refused_lines``.
+    """
     table = text.read_word2vec(
         spark, emb, threshold, encoding=encoding, precision=precision
     )
-    asked = text.read_analogies(spark, questions, lowercase, encoding)
-    # lines without four words are set aside by the reader
-    asked = asked.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    read = session.cut_lineage(text.read_analogies(spark, questions, lowercase, encoding))
+    asked = read.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    refused = read.where(F.col("_corrupt_record").isNotNull()).count()
     solved = evaluate_analogy(asked, table)
-    return analogy.by_category(solved), analogy.totals(solved)
+    totals = analogy.totals(solved).withColumn("refused_lines", F.lit(refused).cast("bigint"))
+    return analogy.by_category(solved), totals

@@ -56,6 +56,8 @@ class LearnedMap:
     linear: LinearMap
     dictionary: DataFrame
     log_rows: list[tuple] = field(default_factory=list)
+    # training pairs (src, trg, w) with a word that a table lacks, where a dictionary was given
+    oov: DataFrame | None = None
 
     def log(self) -> DataFrame:
         return training_log(self.dictionary.sparkSession, self.log_rows)
@@ -147,42 +149,44 @@ def learn_map(
             *scope, config.direction, config.csls, spread=config.vocabulary_cutoff <= 0
         )
     clock = time.monotonic()
-    while True:
-        state = state.begin(config)
-        # induced ids lie within the cut-off; only the seed may reach beyond it
-        if dictionary is seed:
-            gram = mapping.collect_joint_gram(src, trg, seed)
-        else:
-            gram = inducer.joint_gram(dictionary)
-        if state.last_pass:
-            break
-        w = mapping.fit_orthogonal(gram).src
-        found = session.cut_lineage(
-            inducer.run(w, state.keep, config.seed, state.iteration)
-        )
-        goal = induction.objective(found).head()[0]
-        dictionary = induction.as_dictionary(found)
-        checked = (None, None, None)
-        if validation is not None:
-            checked = tuple(
-                None if x is None else 100 * x for x in validation.measure(w).head()
+    try:
+        while True:
+            state = state.begin(config)
+            # induced ids lie within the cut-off; only the seed may reach beyond it
+            if dictionary is seed:
+                gram = mapping.collect_joint_gram(src, trg, seed)
+            else:
+                gram = inducer.joint_gram(dictionary)
+            if state.last_pass:
+                break
+            w = mapping.fit_orthogonal(gram).src
+            found = session.cut_lineage(
+                inducer.run(w, state.keep, config.seed, state.iteration)
             )
-        now = time.monotonic()
-        rows.append(
-            (
-                state.iteration,
-                100 * goal,
-                100 - 100 * state.keep,
-                *checked,
-                now - clock,
+            goal = induction.objective(found).head()[0]
+            dictionary = induction.as_dictionary(found)
+            checked = (None, None, None)
+            if validation is not None:
+                checked = tuple(
+                    None if x is None else 100 * x for x in validation.measure(w).head()
+                )
+            now = time.monotonic()
+            rows.append(
+                (
+                    state.iteration,
+                    100 * goal,
+                    100 - 100 * state.keep,
+                    *checked,
+                    now - clock,
+                )
             )
-        )
-        if on_iteration is not None:
-            on_iteration(rows[-1])
-        clock = now
-        state = state.finish(goal, config)
-    if scope is not None:
-        inducer.release()
-        for table in scope:
-            table.unpersist()
+            if on_iteration is not None:
+                on_iteration(rows[-1])
+            clock = now
+            state = state.finish(goal, config)
+    finally:
+        if scope is not None:
+            inducer.release()
+            for table in scope:
+                table.unpersist()
     return LearnedMap(final_fit(gram, config), dictionary, rows)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import tiles
-from .text import charset
+from .encodings import encoded, encoding_of
 
 LOG_SCHEMA = (
     "iteration int, objective double, drop_prob double, val_similarity double, "
@@ -38,13 +38,14 @@ def format_word2vec_lines(emb: DataFrame) -> DataFrame:
 
 def write_word2vec(emb: DataFrame, path: str, encoding: str = "utf-8") -> None:
     """Write a folder of text parts that, read in name order, form one file."""
-    code = charset(encoding)
-    ordered = format_word2vec_lines(emb).orderBy("line_no").select("value")
-    if code is not None:
-        ordered = ordered.select(
-            F.encode("value", code).cast("string").alias("value")
-        )
-    ordered.write.text(path)
+    known = encoding_of(encoding)
+    ordered = format_word2vec_lines(emb).orderBy("line_no")
+    if known.charset is not None:
+        ordered = ordered.withColumn("value", F.encode("value", known.charset))
+    elif not known.plain:
+        ordered = encoded(ordered.withColumn("value", F.col("value").cast("binary")), known)
+    written = ordered.select(F.col("value").cast("string").alias("value")).write
+    written.text(path, lineSep=known.line_break())
 
 
 def training_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -81,3 +82,12 @@ def write_training_log(log: DataFrame, path: str) -> None:
     # a log has one row per iteration: a single ordered part
     lines = format_training_log(log).orderBy("iteration").coalesce(1)
     lines.select("value").write.text(path)
+
+
+def append_training_log(log: DataFrame, path: str) -> None:
+    """Write each row of ``log`` to its own folder ``iteration=...`` under ``path``, at once.
+
+    A turn's row is there as soon as the turn has ended, whatever becomes of the run.
+    """
+    lines = format_training_log(log).withColumn("iteration", F.format_string("%06d", "iteration"))
+    lines.coalesce(1).write.partitionBy("iteration").mode("append").text(path)

@@ -6,32 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ordering, session
 from ..operators.analogy import is_syntactic
+from .encodings import decoded, encoding_of
 from .lines import line_ranges, numbered_lines
 
-# Line-break bytes stay single in these encodings.
-ENCODINGS = {
-    "utf-8": None,
-    "utf8": None,
-    "latin-1": "ISO-8859-1",
-    "iso-8859-1": "ISO-8859-1",
-    "us-ascii": "US-ASCII",
-    "ascii": "US-ASCII",
-}
 # Fixed value: Unicode white space plus the ASCII separators.
 BLANK = "(?U)[\\s\\x1c-\\x1f]+"
 BLANK_SQL = BLANK.replace("\\", "\\\\")
 ANALOGY_HEADER = ": "
 
 
-def charset(encoding: str) -> str | None:
-    try:
-        return ENCODINGS[encoding.lower()]
-    except KeyError:
-        raise ValueError(
-            f"encoding {encoding!r} is not one of {sorted(ENCODINGS)}"
-        ) from None
-
-
 def ordered_lines(
     spark: SparkSession,
     paths,
@@ -44,15 +27,20 @@ def ordered_lines(
     Files are read by byte ranges, and where ``most`` is given only those that hold the
     first ``most`` lines. Several files count on from each other unless ``per_file``.
     """
-    code = charset(encoding)
-    ranges = line_ranges(spark, paths, per_file, most)
-    if ranges is None:
+    known = encoding_of(encoding)
+    ranges = line_ranges(spark, paths, per_file, most, encoding)
+    if ranges is not None:
+        lines = numbered_lines(spark, ranges)
+    elif known.unit == 1:
         lines = _written_lines(spark, paths, per_file)
     else:
-        lines = numbered_lines(spark, ranges)
-    value = F.col("value").cast("binary")
-    value = F.decode(value, code) if code is not None else value.cast("string")
-    return lines.select("file", "line_no", value.alias("value"))
+        raise ValueError(f"compressed files in encoding {encoding!r} cannot be cut into lines")
+    lines = lines.select("file", "line_no", F.col("value").cast("binary").alias("value"))
+    if known.charset is not None:
+        return lines.withColumn("value", F.decode("value", known.charset))
+    if not known.plain and known.unit == 1:  # the reader has decoded wide units
+        lines = decoded(lines, known)
+    return lines.withColumn("value", F.col("value").cast("string"))
 
 
 def _written_lines(spark: SparkSession, paths, per_file: bool) -> DataFrame:
