@@ -261,15 +261,17 @@ def _dots(x, y):
 @query
 def d6_sqrt_similarity(t):
     # row products of the square root give back the similarities themselves
-    root = session.cut_lineage(seed.sqrt_similarity(t.source()))
-    following = root.select(
+    root = Profiles(t.source(), in_order=False)
+    following = root.frame.select(
         ((F.col("idx") + t.n - 1) % t.n).alias("idx"), F.col("vec").alias("next")
     )
-    return root.join(following, "idx").select(
-        "idx",
-        rounded(vectors.dot("vec", "vec")).alias("own"),
-        rounded(vectors.dot("vec", "next")).alias("following"),
+    both = reduced(
+        root.spread(root.frame.join(following, "idx")),
+        [root, root],
+        lambda ids, own, after: [ids, _dots(own, own), _dots(own, after)],
+        "idx bigint, own double, following double",
     )
+    return both.select("idx", rounded("own").alias("own"), rounded("following").alias("following"))
 
 
 @query
