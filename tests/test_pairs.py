@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,48 @@ def test_partial_states_do_not_grow_with_partitions(spark, vectors_of, rng, part
     assert {(r["idx"], r["rank"]): r["nbr"] for r in top} == {
         (i, k): j for i, row in enumerate(best_of(x @ z.T, 5)) for k, j in enumerate(row, 1)
     }
+
+
+def scanned(jobs, held, block, own_mean=0):
+    rows = tiles.scan_tiles(jobs, held, iter([block]), False, own_mean)
+    return pa.Table.from_batches(list(rows)).to_pylist()
+
+
+def test_held_rows_are_met_in_runs(rng, monkeypatch):
+    x, z = rng.integers(-3, 4, (40, 3)) * 1.0, rng.integers(-3, 4, (23, 3)) * 1.0
+    order = rng.permutation(23)
+    held, block = (order, z[order], np.zeros(23)), (np.arange(40), x, np.zeros(40))
+    jobs = [
+        tiles.TopK("left"),
+        tiles.TopK("left", 30),
+        tiles.TopK("right", 4, penalty=True),
+        tiles.LogSumExp("left", 0.5),
+        tiles.LogSumExp("right", 0.5),
+    ]
+    whole = scanned(jobs, held, block, 6)
+    monkeypatch.setattr(tiles, "HELD_ROWS", 5)
+    monkeypatch.setattr(tiles, "TILE_CELLS", 35)
+    parts = scanned(jobs, held, block, 6)
+    assert len(parts) == len(whole)
+
+    def settled(rows):
+        keyed = sorted(rows, key=lambda r: (r["job"], r["idx"], -round(r["score"], 9), r["nbr"]))
+        tops = [(r["job"], r["idx"], r["nbr"]) for r in keyed if r["job"] < 2]
+        near = [(r["idx"], round(r["score"], 9), r["nbr"]) for r in keyed if r["job"] == 2]
+        logs = [r["score"] + np.log(r["aux"]) for r in keyed if r["job"] > 2]
+        return tops, near, logs
+
+    (a, b, c), (d, e, f) = settled(whole), settled(parts)
+    assert a == d and b == e and c == pytest.approx(f)
+
+
+def test_tiles_do_not_grow_with_the_held_table(rng, monkeypatch):
+    cells, scores = [], tiles._scores
+    monkeypatch.setattr(
+        tiles, "_scores", lambda job, sims, *a: cells.append(sims.size) or scores(job, sims, *a)
+    )
+    z = rng.normal(size=(70000, 2))
+    held = (np.arange(len(z)), z, np.zeros(len(z)))
+    block = (np.arange(200), rng.normal(size=(200, 2)), np.zeros(200))
+    rows = scanned([tiles.TopK("left"), tiles.TopK("right")], held, block)
+    assert max(cells) <= tiles.TILE_CELLS and len(rows) == 200 + 70000
