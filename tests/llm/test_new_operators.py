@@ -319,3 +319,20 @@ def test_one_id_on_a_third_of_all_rows(spark):
     got = draw.resample(table, table.limit(1), percent=50).collect()
     assert sorted(r.rank for r in got if r.rank) == list(range(1, 301))
     assert sorted(map(tuple, got), key=repr) == sorted(resampled(rows, [rows[0][1]], 50), key=repr)
+
+
+def test_pieces_share_the_tables_of_their_starts(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STARTS", 20)
+    own = bpe.PrefixBpe(RANKS, PATTERN)
+    known, extend = [], own.extend
+    own.extend = lambda last, piece: (known.append(len(last)), extend(last, piece))
+    rng = random.Random(4)
+    ends = [bytes(rng.choices(b"aeinrst\xc3\xa9", k=rng.randint(5, 20))) for _ in range(50)]
+    for start in [b" unver", b" \xc3\xa9trang", b"xy"] + [b"abcde%c" % c for c in range(97, 123)]:
+        for end in ends:
+            piece = start + end
+            expected = library._encode_single_piece(piece)
+            assert (own.encode_piece(piece) if piece not in own.rank else expected) == expected
+    assert len(own._starts) <= 20
+    assert known.count(bpe.START_BYTES) > 0.9 * 50 * 29  # only what follows the start is new
+    assert known.count(0) < 200

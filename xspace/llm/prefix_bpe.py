@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ NEVER = 1 << 62  # rank of a merge that does not take place
 MOST_PIECES = 400_000  # remembered encodings of short pieces per worker
 LONG_PIECE = 64  # bytes; longer pieces are not remembered
 MOST_PAIRS = 2_000_000  # remembered verdicts on two tokens
+START_BYTES = 6  # of a piece, whose last tokens are shared by all pieces that start so
+MOST_STARTS = 50_000  # remembered starts per worker
 CUT_CHARS = 1 << 20  # a long text is split into pieces this much at a time
 OUT_IDS = 1 << 21  # ids or bytes per Arrow batch sent back
 
@@ -45,6 +48,11 @@ class PrefixBpe(dict):
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, int], list] = {}
         self._pairs: dict[int, bool] = {}
+        self._starts: dict[bytes, list[int]] = {}
+        self._size_of = np.zeros(max(self.token) + 1, dtype=np.int64)
+        for token, text in self.token.items():
+            self._size_of[token] = len(text)
+        self._sizes = self._size_of.tolist()
 
     # -- which tokens may meet ---------------------------------------------------------
 
@@ -101,58 +109,71 @@ class PrefixBpe(dict):
         return True
 
     def may_follow(self, left: int, right: int) -> bool:
+        """A merged token that may stand behind ``left`` (-1: at the start of a piece)."""
         key = left << 32 | right
         found = self._pairs.get(key)
         if found is None:
+            found = self.made(right) and (left < 0 or self._meet(left, right))
             if len(self._pairs) >= MOST_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[key] = self._meet(left, right)
+            self._pairs[key] = found
         return found
 
     # -- the table of prefixes -----------------------------------------------------------
 
-    def extend(self, last: array, piece: bytes) -> None:
+    def extend(self, last: list[int], piece: bytes) -> None:
         """Add the last tokens of the prefixes of ``piece`` beyond those in ``last``."""
         known = len(last)
         lowest = max(0, known - self.longest)
-        text = piece[lowest:].decode("latin-1")
-        size_of, may_follow, pairs = self.token, self.may_follow, self._pairs
-        for end, (token, size) in self._trie.iter(text):
-            end += lowest + 1
-            if end <= len(last) or size > end:
-                continue  # found, or in front of this prefix
-            before = end - size
-            if not before:
-                if self.made(token):
-                    last.append(token)
+        found = known - lowest
+        known_pair, may_follow, add = self._pairs.get, self.may_follow, last.append
+        for end, (token, size) in self._trie.iter(piece[lowest:].decode("latin-1")):
+            if end < found:
                 continue
-            left = last[before - 1]
-            good = pairs.get(left << 32 | token)
-            if (self.made(token) and may_follow(left, token)) if good is None else good:
-                last.append(token)
+            front = end + lowest - size  # where the prefix in front has its last token
+            left = last[front] if front >= 0 else -1
+            good = known_pair(left << 32 | token)
+            if may_follow(left, token) if good is None else good:
+                add(token)
+                found += 1
         if len(last) != len(piece):
-            raise ValueError(f"bytes without a token: {piece[len(last):][:20]!r} in {len(size_of)} ranks")
+            raise ValueError(f"bytes without a token: {piece[len(last):][:20]!r} in {len(self.token)} ranks")
 
-    def trace(self, last: array) -> list[int]:
+    def trace(self, last: list[int]) -> list[int]:
         """The encoding that a table of prefixes ends in."""
-        out, at, token = [], len(last), self.token
+        out, at, sizes = [], len(last), self._sizes
         while at:
-            out.append(last[at - 1])
-            at -= len(token[out[-1]])
+            token = last[at - 1]
+            out.append(token)
+            at -= sizes[token]
         out.reverse()
         return out
 
+    def _start(self, piece: bytes) -> list[int]:
+        """The last tokens of the first prefixes of ``piece``, as a list of its own."""
+        start = piece[:START_BYTES]
+        last = self._starts.get(start)
+        if last is None:
+            last = []
+            self.extend(last, start)
+            if len(self._starts) >= MOST_STARTS:
+                self._starts.clear()
+            self._starts[start] = last
+        return last.copy()
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        last = array("i")
-        self.extend(last, piece)
+        last = self._start(piece) if len(piece) <= LONG_PIECE else array("i")
+        if len(last) < len(piece):
+            self.extend(last, piece)
         return self.trace(last)
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
-        ids = np.array(self.encode_piece(raw), dtype="<u4").tobytes()
+        ids = self.encode_piece(raw)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= LONG_PIECE:
             if len(self) >= MOST_PIECES:
                 self.clear()
@@ -187,7 +208,7 @@ class PrefixBpe(dict):
         found = BORDER.search(text, end)
         right = found.start() if found else len(text)
         head, tail = len(text[:left].encode("utf-8", "surrogatepass")), len(text[right:].encode("utf-8", "surrogatepass"))
-        sizes = self._sizes()[ids]
+        sizes = self._size_of[ids]
         through = np.cumsum(sizes)
         first = int(np.searchsorted(through, head)) + 1 if head else 0
         behind = int(np.searchsorted(through, int(through[-1]) - tail)) + 1 if len(ids) and tail else len(ids)
@@ -196,13 +217,6 @@ class PrefixBpe(dict):
         out = np.concatenate([ids[:first], own, ids[behind:] if tail else ids[:0]])
         return changed, out, len(middle.encode("utf-8", "surrogatepass"))
 
-    def _sizes(self) -> np.ndarray:
-        if not hasattr(self, "_size_of"):
-            self._size_of = np.zeros(max(self.token) + 1, dtype=np.int64)
-            for rank, token in self.token.items():
-                self._size_of[rank] = len(token)
-        return self._size_of
-
 
 # A space before a character that is no white space starts a piece, whatever stands
 # before it: matches look ahead only.
