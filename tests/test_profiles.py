@@ -63,3 +63,32 @@ def test_rows_and_means_of_profiles_not_written(spark, vectors_of, rng, small_li
     ordered = profiles.Profiles(vectors_of(x), in_order=False).written().collect()
     root = np.array([r["vec"] for r in sorted(ordered)])
     assert np.allclose(root @ root, x @ x.T)
+
+
+def test_best_profiles_without_all_pairs(spark, vectors_of, rng):
+    x = rng.normal(size=(300, 4))
+    x[200:220] = x[100:120]  # equal profiles: rounding says which is taken
+    z = x @ np.linalg.qr(rng.normal(size=(4, 4)))[0]
+    noisy = x + rng.normal(size=x.shape) * 0.1
+    spark.conf.set(session.BROADCAST_BYTES_KEY, "60000")
+    try:
+        for other in (z, noisy):
+            src, trg = (seed.similarity_profiles(vectors_of(m), ACTIONS) for m in (x, other))
+            made = spark.sparkContext.accumulator(0)
+
+            def counted(m, _):
+                made.add(len(m))
+                return m
+
+            trg.steps = trg.steps + [(counted, None)]
+            found = sorted(seed.profile_scores(src, trg).collect())
+            if other is z:
+                # one for its sketch, the rest to compare; each chunk of rows made all before
+                assert made.value < 300 * 10
+            sims = expected_profiles(x) @ expected_profiles(other).T
+            assert [r["src_idx"] for r in found] == list(range(300))
+            taken = sims[range(300), [r["trg_idx"] for r in found]]
+            assert taken == pytest.approx(sims.max(axis=1))
+            assert [r["score"] for r in found] == pytest.approx(sims.max(axis=1).tolist())
+    finally:
+        spark.conf.unset(session.BROADCAST_BYTES_KEY)
