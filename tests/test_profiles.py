@@ -92,3 +92,38 @@ def test_best_profiles_without_all_pairs(spark, vectors_of, rng):
             assert [r["score"] for r in found] == pytest.approx(sims.max(axis=1).tolist())
     finally:
         spark.conf.unset(session.BROADCAST_BYTES_KEY)
+
+
+def test_neighbourhoods_without_all_pairs(spark, vectors_of, rng):
+    x = rng.normal(size=(600, 3))
+    z = x + rng.normal(size=x.shape) * 0.1
+    spark.conf.set(session.BROADCAST_BYTES_KEY, "100000")
+    try:
+        src, trg = (seed.similarity_profiles(vectors_of(m), ACTIONS) for m in (x, z))
+        made = spark.sparkContext.accumulator(0)
+
+        def counted(m, _):
+            made.add(len(m))
+            return m
+
+        for side in (src, trg):
+            side.steps = side.steps + [(counted, None)]
+        found = sorted(seed.profile_scores(src, trg, csls=10).collect())
+        # three scans, each of which made all other rows for every 16 rows before
+        assert made.value < 600 * 38
+        sims = expected_profiles(x) @ expected_profiles(z).T
+        near = [np.sort(s, axis=1)[:, -10:].mean(axis=1) / 2 for s in (sims, sims.T)]
+        scores = sims - near[0][:, None] - near[1]
+        assert [r["src_idx"] for r in found] == list(range(600))
+        assert [r["trg_idx"] for r in found] == scores.argmax(axis=1).tolist()
+        assert [r["score"] for r in found] == pytest.approx(scores.max(axis=1).tolist())
+        best = seed._induced(src, trg, "forward", 10).collect()
+        best = {r["src_idx"]: r["best"] for r in best}
+        assert [best[i] for i in range(600)] == pytest.approx(sims.max(axis=1).tolist())
+        means = {r["idx"]: r["value"] for r in seed.profile_means(src, src, 10).collect()}
+        own = expected_profiles(x) @ expected_profiles(x).T
+        assert [means[i] for i in range(600)] == pytest.approx(
+            np.sort(own, axis=1)[:, -10:].mean(axis=1).tolist()
+        )
+    finally:
+        spark.conf.unset(session.BROADCAST_BYTES_KEY)
