@@ -127,3 +127,27 @@ def test_neighbourhoods_without_all_pairs(spark, vectors_of, rng):
         )
     finally:
         spark.conf.unset(session.BROADCAST_BYTES_KEY)
+
+
+def test_tables_that_are_shipped_in_blocks(spark, vectors_of, rng):
+    x = rng.normal(size=(200, 6))
+    turned = x @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    spark.conf.set(session.BROADCAST_BYTES_KEY, "6000")  # the table has 9,600 bytes
+    try:
+        before = folder_bytes(spark)
+        made = profiles.Profiles(vectors_of(x)).then(["unit", "center"])
+        assert len(made.table.blocks) == 4
+        means = made.column_means().collect()
+        rows = sorted(made.then(["unit"]).written().collect())
+        ordered = sorted(profiles.Profiles(vectors_of(x), in_order=False).written().collect())
+        own, other = (seed.similarity_profiles(vectors_of(m), ACTIONS) for m in (x, turned))
+        found = sorted(seed.profile_scores(own, other).collect())
+        assert folder_bytes(spark) - before < 200 * 200 * 8  # less than one side's profiles
+        assert np.allclose([r["mean"] for r in means], 0) and len(means) == 200
+        assert np.allclose([r["vec"] for r in rows], expected_profiles(x))
+        root = np.array([r["vec"] for r in ordered])
+        assert np.allclose(root @ root, x @ x.T)
+        assert [r["trg_idx"] for r in found] == list(range(200))
+        assert [r["score"] for r in found] == pytest.approx([1] * 200)
+    finally:
+        spark.conf.unset(session.BROADCAST_BYTES_KEY)
